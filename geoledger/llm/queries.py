@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from geoledger.llm import exact_dedup, media, mixing
+from geoledger.llm import exact_dedup, media, minhash, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix,
+    "op3_near_dedup": minhash.op3_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_media_columns": media.op8_media,
 }
