@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from geoledger.llm import exact_dedup, huffman, media, minhash, mixing, packing
+import corpus_pipeline
+from geoledger.llm import exact_dedup, huffman, media, minhash, mixing, packing, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_dedup": minhash.op3_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op8_media_columns": media.op8_media,
     "op9_token_ids": huffman.op9_token_ids,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
