@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoledger.llm import exact_dedup, huffman, media, minhash, mixing, packing, toxicity
+from geoledger.llm import exact_dedup, huffman, licenses, media, minhash, mixing, packing, pii, toxicity, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_near_dedup": minhash.op3_near_dedup,
+    "op4_urls": urls.op4_urls,
+    "op5_pii": pii.op5_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op8_media_columns": media.op8_media,
     "op9_token_ids": huffman.op9_token_ids,
+    "op10_licenses": licenses.op10_licenses,
     "pipeline": corpus_pipeline.run,
 }
 
