@@ -19,7 +19,7 @@ def _point(x: str, y: str) -> str:
     return f"(pow(greatest(0, f.xmin - p.{x}, p.{x} - f.xmax), 2) + pow(greatest(0, f.ymin - p.{y}, p.{y} - f.ymax), 2))"
 
 
-_NEAR = f"({_point('rx', 'ry')} <= 1000000 or {_point('gx', 'gy')} <= 1000000)"
+_NEAR = f"({_point('rx', 'ry')} <= 1000000 or (p.gx is not null and {_point('gx', 'gy')} <= 1000000))"
 #: Confirmed sites: not excluded, and every label true or no label.
 _CONFIRMED = """, site as (select b.* from building b where not b.excluded and b.id < 10000000
     and not exists (select 1 from cafo_annotation c where c.building_id = b.id and not c.is_cafo))"""
@@ -105,7 +105,7 @@ _COUNTY = "cast(floor(((xmin + xmax) / 2.0) / 8002) as bigint) + 5 * cast(floor(
 @query(
     "facilities_by_county", [*_V, "county"],
     _CONFIRMED + f""", f2 as (select {_COUNTY} as county, exists (select 1 from permit p where {_NEAR}) as permitted from site f)
-    select c.name, c.county_group, count(f2.county) as total, count_if(f2.permitted) as permitted, count_if(not f2.permitted) as unpermitted
+    select c.name, c.county_group, count(f2.county) as total, count(case when f2.permitted then 1 end) as permitted, count(case when not f2.permitted then 1 end) as unpermitted
     from county c left join f2 on f2.county = c.id group by c.name, c.county_group""",
 )
 def by_county(spark, d):
@@ -175,8 +175,8 @@ def overlap_exclusion(spark, d):
 
 
 
-@query("permit_sensitivity", _V, _CONFIRMED + f""", n as (select f.id, min(least({_point('rx', 'ry')}, coalesce({_point('gx', 'gy')}, 1e18))) as d2 from site f, permit p group by f.id)
-    select cast(k * 50 as bigint) as reach, count_if(n.d2 <= k * 50.0 * k * 50.0) as permitted from range(0, 21) t(k), n group by k""")
+@query("permit_sensitivity", _V, _CONFIRMED + f""", n as (select f.id, min(least({_point('rx', 'ry')}, case when p.gx is null then 1e18 else {_point('gx', 'gy')} end)) as d2 from site f, permit p group by f.id)
+    select cast(k * 50 as bigint) as reach, count(case when n.d2 <= k * 50.0 * k * 50.0 then 1 end) as permitted from range(0, 21) t(k), n group by k""")
 def permit_sensitivity(spark, d):
     closest = site_permits(spark, d).groupBy("site").agg(F.min("d2").alias("d2"))
     steps = closest.groupBy(F.ceil(F.sqrt("d2") / 50).cast("long").alias("k")).agg(F.count("*").alias("n"))
@@ -212,7 +212,7 @@ def unlabeled(spark, d):
 
 _STRATA = """, s as (select coalesce(t.bucket, 'removed') as bucket, t.id, count(a.tile_id) > 0 as labeled, coalesce(bool_or(a.label = 'purchase'), false) as positive
     from tile t left join tile_annotation a on a.tile_id = t.id group by 1, 2),
-    c as (select bucket, count(*) as n, count_if(labeled) as labeled, count_if(positive) as positive from s group by bucket)"""
+    c as (select bucket, count(*) as n, count(case when labeled then 1 end) as labeled, count(case when positive then 1 end) as positive from s group by bucket)"""
 
 
 def strata(spark, d: str) -> DataFrame:
@@ -240,7 +240,7 @@ def wilson(spark, d):
 
 
 _KAPPA = "case when pe = 1 then 1.0 else (po - pe) / (1 - pe) end"
-_TABLE = "count(*) as n, count_if(a and b) as both_true, count_if(not a and not b) as both_false, count_if(a) as a_true, count_if(b) as b_true"
+_TABLE = "count(*) as n, count(case when a and b then 1 end) as both_true, count(case when not a and not b then 1 end) as both_false, count(case when a then 1 end) as a_true, count(case when b then 1 end) as b_true"
 _SHARES = "(both_true + both_false) / cast(n as double) as po, (cast(a_true as double) * b_true + cast(n - a_true as double) * (n - b_true)) / (cast(n as double) * n) as pe"
 
 
@@ -250,7 +250,7 @@ def agreement(spark, d):
     return t.selectExpr("n", "both_true", "both_false", "n - both_true - both_false as disagree", "po as agreement", f"{_KAPPA} as kappa")
 
 
-_HEAD = "count(*) as total, count_if(population >= 200) as large, count_if(population < 200) as small, count_if(status = 'Active') as active, count_if(status = 'Historical') as historical"
+_HEAD = "count(*) as total, count(case when population >= 200 then 1 end) as large, count(case when population < 200 then 1 end) as small, count(case when status = 'Active' then 1 end) as active, count(case when status = 'Historical' then 1 end) as historical"
 
 
 @query("permits_by_county", ["permit", "county"], f", p as (select *, cast(floor(rx / 8002) as bigint) + 5 * cast(floor(ry / 8002) as bigint) as county from permit) select c.name, {_HEAD} from p join county c on c.id = p.county group by c.name")
@@ -261,7 +261,7 @@ def permits_by_county(spark, d):
 
 
 @query("permitted_by_type_pivot", _V, _CONFIRMED + f""", f2 as (select animal_type, exists (select 1 from permit p where {_NEAR}) as permitted from site f)
-    select coalesce(animal_type, 'Total') as animal_type, count_if(permitted) as permitted, count_if(not permitted) as unpermitted, count(*) as total from f2 group by rollup(animal_type)""")
+    select coalesce(animal_type, 'Total') as animal_type, count(case when permitted then 1 end) as permitted, count(case when not permitted then 1 end) as unpermitted, count(*) as total from f2 group by rollup(animal_type)""")
 def type_pivot(spark, d):
     near = site_permits(spark, d).select(F.col("site").alias("id")).distinct().withColumn("permitted", F.lit(True))
     f = sites(spark, d).join(near, "id", "left").select("animal_type", F.coalesce("permitted", F.lit(False)).alias("permitted"))
@@ -285,7 +285,7 @@ def verdict_edges(spark, d):
     return o.toDF("id_a", "owner").join(o.toDF("id_b", "owner"), "owner").where("id_a < id_b").select("id_a", "id_b", F.lit(1000).cast("long").alias("weight"))
 
 
-@query("latest_annotation", ["cafo_annotation"], """ select building_id, strftime(max(annotated_on), '%Y-%m-%d') as latest, count(*) as n, bool_and(is_cafo) as all_cafo, count_if(phase = 1) as second_phase from cafo_annotation group by building_id""")
+@query("latest_annotation", ["cafo_annotation"], """ select building_id, strftime(max(annotated_on), '%Y-%m-%d') as latest, count(*) as n, bool_and(is_cafo) as all_cafo, count(case when phase = 1 then 1 end) as second_phase from cafo_annotation group by building_id""")
 def latest(spark, d):
     a = view(spark, d, "cafo_annotation").groupBy("building_id")
     return a.agg(F.date_format(F.max("annotated_on"), "yyyy-MM-dd").alias("latest"), F.count("*").alias("n"), F.bool_and("is_cafo").alias("all_cafo"), F.count_if(F.col("phase") == 1).alias("second_phase"))
