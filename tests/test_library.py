@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from geoledger.operators.components import connected_components
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df):
     df = df[sorted(df.columns)]
-    tidy = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) else v
+    tidy = lambda v: None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float)) else v
     return sorted(str([tidy(v) for v in r]) for r in df.astype(object).values)
 
 
