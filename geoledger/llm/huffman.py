@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from geoledger.llm.common import materialize, scratch_path
-from geoledger.llm.tokens import TextEncoder, public_path
+from geoledger.llm.tokens import text_encoder, public_path
 
 #: Longest code, ids from one bit-offset checkpoint to the next, and ids to a block.
 LIMIT, EVERY, BLOCK = 18, 256, 1 << 16
@@ -70,21 +70,34 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, size, width
 
 
-def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of these ids, and the bit offsets of ids 0, EVERY, 2 * EVERY, ..."""
-    if not len(ids):
-        return b"", np.zeros(0, np.int64)
+def encode_documents(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+    """For documents of these ``counts``, one after another in ``ids``: the bits of each, filled up
+    to whole bytes, and the bit offsets in it of its ids 0, EVERY, 2 * EVERY, ..."""
+    counts = np.asarray(counts, np.int64)
     size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    at = end - size
-    where = at >> 3
-    bits = codes[ids].astype(np.uint32) << (32 - size - (at & 7)).astype(np.uint32)
-    first = np.flatnonzero(np.diff(where, prepend=-1))
-    word, place = np.bitwise_or.reduceat(bits, first), where[first]
-    out = np.zeros(int(end[-1] + 7 >> 3) + 4, np.uint8)
-    for k in range(4):
-        out[place + k] |= (word >> np.uint32(24 - 8 * k)).astype(np.uint8)
-    return out[:-4].tobytes(), at[::EVERY]
+    end = np.concatenate([[0], np.cumsum(size)])
+    last = np.cumsum(counts)
+    first = last - counts
+    n_bytes = end[last] - end[first] + 7 >> 3
+    start = np.cumsum(n_bytes) - n_bytes
+    inside = end[:-1] - np.repeat(end[first], counts)
+    at = inside + np.repeat(8 * start, counts)
+    out = np.zeros(int(n_bytes.sum()) + 4, np.uint8)
+    if len(ids):
+        where = at >> 3
+        bits = codes[ids].astype(np.uint32) << (32 - size - (at & 7)).astype(np.uint32)
+        new = np.flatnonzero(np.diff(where, prepend=-1))
+        word, place = np.bitwise_or.reduceat(bits, new), where[new]
+        for k in range(4):
+            out[place + k] |= (word >> np.uint32(24 - 8 * k)).astype(np.uint8)
+    raw = out.tobytes()
+    return [raw[i : i + n] for i, n in zip(start, n_bytes, strict=True)], [inside[i:j:EVERY] for i, j in zip(first, last, strict=True)]
+
+
+def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bits and checkpoints of one row of ids."""
+    (raw,), (marks,) = encode_documents(ids, [len(ids)], codes, lengths)
+    return raw, marks
 
 
 def decode(data: bytes, marks: np.ndarray, counts: list[int], table: tuple) -> list[np.ndarray]:
@@ -112,7 +125,7 @@ def tokenize(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: st
     """``(doc_id, tie, ids)``: ids as little-endian unsigned 16-bit, or 32-bit for large vocabularies."""
 
     def run(batches):
-        encoder = TextEncoder(public_path(tokenizer), kind)
+        encoder = text_encoder(public_path(tokenizer), kind)
         for batch in batches:
             texts, keys = [t or "" for t in batch.column(1).to_pylist()], batch.column(0)
             for i in range(0, len(texts), 500):
@@ -130,8 +143,8 @@ def global_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=vocabulary)
+            for i in range(0, b.num_rows, 500):
+                total += np.bincount(np.frombuffer(b"".join(b.column(0).slice(i, 500).to_pylist()), "<u2"), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -165,40 +178,31 @@ def write_ids(
     used = [(int(k), int(lengths[k])) for k in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
 
-    def bits(batches):
-        codes = canonical_codes(lengths)
-        for b in batches:
-            payload, marks, n = [], [], []
-            for x in b.column(2):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
-                raw, at = encode_block(ids, codes, lengths)
-                payload.append(raw), marks.append(at.astype(np.int32)), n.append(len(ids))
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(marks, pa.list_(pa.int32())), pa.array(payload, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "n", "marks", "payload"])
-
-    coded = tokens.mapInArrow(bits, "doc_id bigint, tie bigint, n int, marks array<int>, payload binary")
+    # raw ids are placed first, so that finding the ranges and the sort start no Python
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    placed = placed.withColumn("part", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    placed = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def blocks(batches):
+        codes = canonical_codes(lengths)
         rows, size, made, part = [], 0, 0, None
         names = ["part", "block", "doc_ids", "counts", "checkpoints", "payload"]
 
         def flush():
-            start, marks = 0, []
-            for r in rows:
-                marks.append(np.asarray(r[2], np.int64) + 8 * start)
-                start += len(r[3])
-            cols = [[part], [made], [[r[0] for r in rows]], [[r[1] for r in rows]], [np.concatenate(marks)], [b"".join(r[3] for r in rows)]]
+            n = np.array([len(x) for _, x in rows], np.int64) // 2
+            payload, marks = encode_documents(np.frombuffer(b"".join(x for _, x in rows), "<u2"), n, codes, lengths)
+            start = np.cumsum([0, *map(len, payload)])[:-1]
+            marks = np.concatenate([m + 8 * i for m, i in zip(marks, start, strict=True)])
+            cols = [[part], [made], [[d for d, _ in rows]], [n], [marks], [b"".join(payload)]]
             kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for b in batches:
-            for doc, n, marks, payload, where in zip(*(b.column(k).to_pylist() for k in ("doc_id", "n", "marks", "payload", "part")), strict=True):
-                part = where
-                rows.append((doc, n, marks, payload))
-                size += n
+            part = b.column("part")[0].as_py() if b.num_rows else part
+            for doc, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                x = x.as_py()
+                rows.append((doc, x))
+                size += len(x) // 2
                 if size >= BLOCK:
                     yield flush()
                     rows, size, made = [], 0, made + 1
@@ -206,14 +210,17 @@ def write_ids(
             yield flush()
 
     schema = "part int, block bigint, doc_ids array<bigint>, counts array<int>, checkpoints array<bigint>, payload binary"
-    placed.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    placed.select("doc_id", "ids", "part").mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """``(doc_id, part, block, place, ids)`` of all documents, decoded block by block."""
+def read_ids(spark, path: str, digest: bool = False) -> DataFrame:
+    """``(doc_id, part, block, place, inside, n_tokens, ids)`` of all documents, decoded block by
+    block; ``inside`` is how many ids stand before the document in its block. With ``digest`` the
+    last column is ids_crc32 in place of the ids."""
     found = spark.read.parquet(f"{path}/codes").toArrow()  # at most the vocabulary
     lengths = np.zeros(int(found.column("id").to_numpy().max(initial=0)) + 1, np.uint8)
     lengths[found.column("id").to_numpy()] = found.column("length").to_numpy()
+    names = ["doc_id", "part", "block", "place", "inside", "n_tokens", "ids_crc32" if digest else "ids"]
 
     def run(batches):
         table = decode_table(lengths)
@@ -224,21 +231,23 @@ def read_ids(spark, path: str) -> DataFrame:
                 each = [n for c in counts for n in c]
                 base = np.cumsum([0, *map(len, payload)])[:-1]
                 flat = np.concatenate([np.asarray(m, np.int64) + 8 * x for m, x in zip(marks, base, strict=True)])
-                ids = decode(b"".join(payload), flat, each, table)
-                part = np.repeat(b.column("part").to_numpy(), [len(c) for c in counts])
-                block = np.repeat(b.column("block").to_numpy(), [len(c) for c in counts])
+                raw = [memoryview(x.astype("<u4")) for x in decode(b"".join(payload), flat, each, table)]
+                last = pa.array([zlib.crc32(x) for x in raw], pa.int64()) if digest else pa.array([x.tobytes() for x in raw], pa.binary())
+                part, block = (np.repeat(b.column(k).to_numpy(), [len(c) for c in counts]) for k in ("part", "block"))
                 place = np.concatenate([np.arange(len(c)) for c in counts])
-                cols = [pa.array([d for x in doc_ids for d in x], pa.int64()), pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(place, pa.int32()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "block", "place", "ids"])
+                inside = np.concatenate([np.cumsum(c) - c for c in counts])
+                cols = [pa.array([d for x in doc_ids for d in x], pa.int64()), pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(place, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(inside, pa.int64()), pa.array(each, pa.int64()), last], names)
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(run, "doc_id bigint, part int, block bigint, place int, ids binary")
+    schema = "doc_id bigint, part int, block bigint, place int, inside bigint, n_tokens bigint, "
+    return spark.read.parquet(f"{path}/blocks").mapInArrow(run, schema + ("ids_crc32 bigint" if digest else "ids binary"))
 
 
 def op9_token_ids(spark, sf_dir: str) -> DataFrame:
     """Digests of the ids that were read back, with each document's start in the whole order.
 
-    Starts are prefix sums on three levels: blocks within a part and documents within a block by
-    window sums over each, parts by a sum over one row per part.
+    Starts are prefix sums on three levels: documents within a block where it is decoded,
+    blocks within a part by a window sum, parts by a sum over one row per part.
     """
     path = scratch_path(spark, "huffman")
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
@@ -247,17 +256,9 @@ def op9_token_ids(spark, sf_dir: str) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before.alias("part_start"))
-    inside = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("part", "block", inside.alias("block_start")).join(parts, "part")
+    within = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("part", "block", within.alias("block_start")).join(parts, "part")
     starts = starts.select("part", "block", (F.col("block_start") + F.col("part_start")).alias("base"))
 
-    def digest(batches):
-        for b in batches:
-            raw = b.column("ids").to_pylist()
-            n, crc = pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], n, crc], ["doc_id", "part", "block", "place", "n_tokens", "ids_crc32"])
-
-    read = read_ids(spark, path).mapInArrow(digest, "doc_id bigint, part int, block bigint, place int, n_tokens bigint, ids_crc32 bigint")
-    here = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part", "block").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = read.withColumn("inside", here).join(starts, ["part", "block"])
+    out = read_ids(spark, path, digest=True).join(starts, ["part", "block"])
     return out.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from geoledger.llm.tokens import TextEncoder, public_path
+from geoledger.llm.tokens import public_path, text_encoder
 
 #: Context sizes, longest first.
 TIERS = (1024, 512, 256, 128, 64)
@@ -126,7 +126,7 @@ def pack_documents(
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        encoder = TextEncoder(public_path(tokenizer), kind)
+        encoder = text_encoder(public_path(tokenizer), kind)
         base = TaskContext.get().partitionId() << 36
         made = groups = 0
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space other than space and line feed, and what only Python counts as white space.
 _RARE, _FOREIGN = re.compile(r"[^\S \n]"), re.compile("[\x1c-\x1f]")
+#: Pieces of letters that stay letters when lower-cased: the word tokenizer takes each as one word.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: New pieces to a string that is encoded; longer strings take longer per piece.
+_JOIN = 128
 
 
 class _Pieces(dict):
@@ -67,37 +74,49 @@ class TextEncoder:
     spaces and line feeds between other characters is cut before each space and around each line
     feed, any other text by _PIECES.
 
-    New pieces are encoded in long strings with a mark between them that has an id of its own;
-    pieces that hold the mark or unusual white space are encoded one by one.
+    New pieces are encoded in strings of _JOIN pieces. Those of kind "words" that are letters alone
+    end where an id ends a word; others have a mark after them that has an id of its own. Pieces
+    that hold the mark or unusual white space are encoded one by one.
     """
 
-    def __init__(self, path: str, kind: str, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, kind: str, most_bytes: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.mark = " \x01 " if kind == "words" else "\n"
         self.alone = re.compile(r"[\x01<\s]" if kind == "words" else r"(?<!^)\s|^[^\S ]|<|^ $")
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") if kind == "words" else None
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for w, k in vocabulary.items() if w.endswith(suffix)]] = True
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.pieces = _Pieces(self._encode_new, most_bytes)
 
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
 
     def _encode_new(self, pieces: list[str]):
         """(numbers of pieces, their ids one after another, how many each has), in several parts."""
-        odd = np.fromiter((self.alone.search(p) is not None for p in pieces), bool, len(pieces))
-        single = np.flatnonzero(odd)
-        found = self._plain([pieces[k] for k in single])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        yield single, np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum())), lengths
-        left = np.flatnonzero(~odd)
-        for i in range(0, len(left), 4096):
-            part = left[i : i + 4096]
-            (ids,) = self._plain([self.mark.join([pieces[k] for k in part])])
-            ids = np.fromiter(ids, np.int32, len(ids))
-            marks = np.flatnonzero(ids == self.mark_id)
-            yield part, ids[ids != self.mark_id], np.diff(marks, prepend=-1, append=len(ids)) - 1
+        alone, letters = self.alone.search, _LETTERS.fullmatch
+        kinds = np.fromiter((1 if self.ends is not None and letters(p) else 0 if alone(p) else 2 for p in pieces), np.int8, len(pieces))
+        single = np.flatnonzero(kinds == 0)
+        yield single, *self._plain([pieces[k] for k in single])
+        for kind, mark in ((1, " "), (2, self.mark)):
+            numbers = np.flatnonzero(kinds == kind)
+            for i in range(0, len(numbers), 64 * _JOIN):
+                part = numbers[i : i + 64 * _JOIN]
+                strings = [mark.join([pieces[k] for k in part[j : j + _JOIN]]) + mark for j in range(0, len(part), _JOIN)]
+                ids, _ = self._plain(strings)
+                if kind == 1:
+                    yield part, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                else:
+                    yield part, ids[ids != self.mark_id], np.diff(np.flatnonzero(ids == self.mark_id), prepend=-1) - 1
 
     def _cut(self, text: str) -> list[bytes]:
         if self.kind == "words":
@@ -126,6 +145,12 @@ class TextEncoder:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def text_encoder(path: str, kind: str) -> TextEncoder:
+    """This Python worker's encoder: its tasks share the pieces that it remembers."""
+    return TextEncoder(path, kind)
+
+
 def public_path(name: str) -> str:
     """Where a public tokenizer's file lies on this machine; a path is taken as it is."""
     if os.sep in name:

@@ -142,6 +142,10 @@ def test_huffman_round_trip(spark, odd):
     raw, marks = huffman.encode_block(ids, huffman.canonical_codes(lengths), lengths)
     (back,) = huffman.decode(raw, marks.copy(), [len(ids)], huffman.decode_table(lengths))
     assert (back == ids).all()
+    n = [0, 1, 700, 0, 256, 257, len(ids) - 1214, 0]
+    each, at = huffman.encode_documents(ids, n, huffman.canonical_codes(lengths), lengths)
+    alone = [huffman.encode_block(x, huffman.canonical_codes(lengths), lengths) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert each == [x for x, _ in alone] and [list(m) for m in at] == [list(m) for _, m in alone]
     path = huffman.scratch_path(spark, "test-huffman")
     huffman.write_ids(odd.where("doc_id is not null"), path)
     e = TextEncoder(public_path("word_bpe_49k.json"), "words")
