@@ -31,6 +31,22 @@ class _Pieces(dict):
         self.clear()
         self.new, self.size, self.used = [], 0, 0
         self.ids, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def shrink(self) -> None:
+        """Forget the pieces that no batch had after their first; all, if too many would be left."""
+        numbers = np.flatnonzero(self.again[: len(self)])
+        kept = [p for p, again in zip(self, self.again.tolist(), strict=False) if again]
+        ids, length = self.expand(numbers)
+        size = sum(map(len, kept)) + 120 * len(kept)
+        self.reset()
+        if size > self.most // 2:
+            return
+        self.update(zip(kept, range(len(kept)), strict=True))
+        self.size, self.used = size, len(ids)
+        self.ids = np.concatenate([ids, self.ids])
+        self.start, self.length = np.concatenate([np.cumsum(length) - length, self.start]), np.concatenate([length, self.length])
+        self.again = np.zeros(len(self.start), bool)
 
     def __missing__(self, piece: bytes) -> int:
         k = self[piece] = len(self)
@@ -44,6 +60,7 @@ class _Pieces(dict):
             return
         first = len(self) - len(self.new)
         while len(self.start) < len(self):
+            self.again = np.concatenate([self.again, np.zeros(len(self.again), bool)])
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
         for numbers, ids, lengths in self.encode([p.decode() for p in self.new]):
             while len(self.ids) < self.used + len(ids):
@@ -67,7 +84,7 @@ class TextEncoder:
     """Ids of texts without special tokens, as ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Both kinds of tokenizers split text before merging, and never across the places used here, so
-    pieces between them can be encoded once and remembered (up to ``most_bytes``, then forgotten).
+    pieces between them can be encoded once and remembered (up to ``most_bytes``; then those not met again are forgotten).
 
     kind "words": the tokenizer drops white space; pieces are runs between ASCII white space.
     kind "spaced": byte-level with a leading space in the piece. A text whose white space is single
@@ -79,7 +96,7 @@ class TextEncoder:
     that hold the mark or unusual white space are encoded one by one.
     """
 
-    def __init__(self, path: str, kind: str, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, kind: str, most_bytes: int = 128 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -135,11 +152,14 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.pieces.size > self.pieces.most:
-            self.pieces.reset()
+            self.pieces.shrink()
+        before = len(self.pieces)
         cut = [self._cut(t) for t in texts]
         numbers = [np.fromiter(map(self.pieces.__getitem__, c), np.int64, len(c)) for c in cut]
         self.pieces.settle()
-        ids, length = self.pieces.expand(np.concatenate(numbers) if numbers else np.zeros(0, np.int64))
+        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.pieces.again[flat[flat < before]] = True
+        ids, length = self.pieces.expand(flat)
         ends = np.concatenate([[0], np.cumsum(length)])
         bounds = ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

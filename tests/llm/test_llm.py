@@ -132,6 +132,14 @@ def test_packing(spark, odd):
     assert [sum(n for d, _, n in pieces if d == k) for k in range(len(lengths))] == lengths
 
 
+@pytest.mark.parametrize("most", [1, 3000, 20_000])
+def test_encoder_forgets(most):
+    e = TextEncoder(public_path("word_bpe_49k.json"), "words", most_bytes=most)
+    texts = [" ".join(f"w{k * j % 97} common{k % 5} x{k}" for k in range(40)) for j in range(30)]
+    for t in texts:
+        assert list(e.encode([t])[0]) == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_huffman_round_trip(spark, odd):
     rng = np.random.default_rng(1)
     counts = np.bincount(rng.zipf(1.3, 5000) % 400, minlength=400)
