@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from geoledger.operators.components import connected_components
 from geoledger.operators.spatial import boxes_of_points, grid_join, self_pairs
-from geoledger.sources.views import view, with_views
+from geoledger.sources.views import county_of, view, with_views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,10 +20,11 @@ def _point(x: str, y: str) -> str:
 
 
 _NEAR = f"({_point('rx', 'ry')} <= 1000000 or (p.gx is not null and {_point('gx', 'gy')} <= 1000000))"
-#: Confirmed sites: not excluded, and every label true or no label.
-_CONFIRMED = """, site as (select b.* from building b where not b.excluded and b.id < 10000000
-    and not exists (select 1 from cafo_annotation c where c.building_id = b.id and not c.is_cafo))"""
-_V = ["building", "cafo_annotation", "permit"]
+#: Confirmed sites: every label true or no label, and not known to be gone by the end of 2017.
+_CONFIRMED = """, site as (select b.* from building b where not b.excluded and b.id >= 0
+    and not exists (select 1 from cafo_annotation c where c.building_id = b.id and not c.is_cafo)
+    and not exists (select building_id from construction_annotation k where k.building_id = b.id group by building_id having max(k.destroyed) <= 2017))"""
+_V = ["building", "cafo_annotation", "construction_annotation", "permit"]
 
 
 def query(name: str, views: list[str] | None = None, sql: str | None = None, recursive: bool = False):
@@ -37,8 +38,10 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None, rec
 
 
 def sites(spark, d: str) -> DataFrame:
+    """Two anti joins on aggregated keys; the fan-out of labels times dates never arises."""
     labels = view(spark, d, "cafo_annotation").where("not is_cafo").select(F.col("building_id").alias("id"))
-    return view(spark, d, "building").where("not excluded and id < 10000000").join(labels, "id", "left_anti")
+    gone = view(spark, d, "construction_annotation").groupBy(F.col("building_id").alias("id")).agg(F.max("destroyed").alias("destroyed")).where("destroyed <= 2017")
+    return view(spark, d, "building").where("not excluded and id >= 0").join(labels, "id", "left_anti").join(gone, "id", "left_anti")
 
 
 def permit_points(permits: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def expanded(spark, d):
     return out.select(F.col("id").alias("site"), F.coalesce("n_permits", F.lit(0)).alias("n_permits"), F.coalesce("first_permit", F.lit(-1)).alias("first_permit"))
 
 
-_COUNTY = "cast(floor(((xmin + xmax) / 2.0) / 8002) as bigint) + 5 * cast(floor(((ymin + ymax) / 2.0) / 8002) as bigint)"
+_COUNTY = county_of("(xmin + xmax) / 2.0", "(ymin + ymax) / 2.0")
 
 
 @query(
@@ -196,7 +199,7 @@ def ex_ante(spark, d):
 @query("adjacent_tiles", ["tile"], f" select a.id, b.id as neighbour from tile a join tile b on {_ADJ} where b.bucket is not null and a.bucket = 'ex ante permit'")
 def adjacent(spark, d):
     t = view(spark, d, "tile")
-    got = grid_join(t.where("bucket = 'ex ante permit'"), t.where("bucket is not null"), 0, 1001).where("l.id <> r.id")
+    got = grid_join(t.where("bucket = 'ex ante permit'"), t.where("bucket is not null"), 0, 2002).where("l.id <> r.id")
     return got.select("l.id", F.col("r.id").alias("neighbour"))
 
 
@@ -253,9 +256,9 @@ def agreement(spark, d):
 _HEAD = "count(*) as total, count(case when population >= 200 then 1 end) as large, count(case when population < 200 then 1 end) as small, count(case when status = 'Active' then 1 end) as active, count(case when status = 'Historical' then 1 end) as historical"
 
 
-@query("permits_by_county", ["permit", "county"], f", p as (select *, cast(floor(rx / 8002) as bigint) + 5 * cast(floor(ry / 8002) as bigint) as county from permit) select c.name, {_HEAD} from p join county c on c.id = p.county group by c.name")
+@query("permits_by_county", ["permit", "county"], f", p as (select *, {county_of('rx', 'ry')} as county from permit) select c.name, {_HEAD} from p join county c on c.id = p.county group by c.name")
 def permits_by_county(spark, d):
-    p = view(spark, d, "permit").withColumn("county", F.expr("cast(floor(rx / 8002) as bigint) + 5 * cast(floor(ry / 8002) as bigint)"))
+    p = view(spark, d, "permit").withColumn("county", F.expr(county_of("rx", "ry")))
     p = p.groupBy("county").agg(*[F.expr(x) for x in _HEAD.split(", ")])
     return p.join(view(spark, d, "county").select(F.col("id").alias("county"), "name"), "county").drop("county")
 
@@ -278,13 +281,6 @@ def folded(spark, d):
 
 
 
-@query("name_verdict_edges", ["building", "parcel"], """, o as (select b.id, p.owner from building b join parcel p on p.id = b.parcel_id where p.owner <> '')
-    select a.id as id_a, b.id as id_b, cast(1000 as bigint) as weight from o a join o b on a.owner = b.owner and a.id < b.id""")
-def verdict_edges(spark, d):
-    o = view(spark, d, "building").select("id", "parcel_id").join(view(spark, d, "parcel").where("owner <> ''").withColumnRenamed("id", "parcel_id"), "parcel_id").select("id", "owner")
-    return o.toDF("id_a", "owner").join(o.toDF("id_b", "owner"), "owner").where("id_a < id_b").select("id_a", "id_b", F.lit(1000).cast("long").alias("weight"))
-
-
 @query("latest_annotation", ["cafo_annotation"], """ select building_id, strftime(max(annotated_on), '%Y-%m-%d') as latest, count(*) as n, bool_and(is_cafo) as all_cafo, count(case when phase = 1 then 1 end) as second_phase from cafo_annotation group by building_id""")
 def latest(spark, d):
     a = view(spark, d, "cafo_annotation").groupBy("building_id")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Side of one square district in metres. Keys fill district after district, so that density stays the same at any scale.
+DISTRICT = 80100
+
+
 def _hash(a: int, b: int, c: int, key: str) -> str:
-    k = f"cast({key} as bigint)"
-    return f"(({k}) * ({k}) * {a} + ({k}) * {b} + {c}) % 40009"
+    k = f"(cast({key} as bigint) % 40009)"
+    return f"(2 * (({k} * {k} * {a} + {k} * {b} + {c}) % 40009))"
 
 
 def h1(key: str) -> str:
@@ -18,12 +22,25 @@ def h2(key: str) -> str:
     return _hash(31, 7907, 17, key)
 
 
+def _district(key: str, size: int) -> str:
+    return f"cast(floor({key} / {size}) as bigint) * {DISTRICT}"
+
+
+_X = f"{h1('c_custkey')} + {_district('c_custkey', 1500)}"
 _BOX = {
-    "id": "cast(c_custkey as bigint)", "xmin": h1("c_custkey"), "ymin": h2("c_custkey"),
-    "xmax": f"{h1('c_custkey')} + 20 + c_custkey % 50", "ymax": f"{h2('c_custkey')} + 20 + (c_custkey * 31) % 50",
-    "parcel_id": "case when c_custkey % 11 = 0 then null else cast(c_custkey % 700 as bigint) end", "excluded": "c_custkey % 37 = 0", "animal_type": "c_mktsegment",
+    "id": "cast(c_custkey as bigint)", "xmin": _X, "ymin": h2("c_custkey"),
+    "xmax": f"{_X} + 20 + c_custkey % 50", "ymax": f"{h2('c_custkey')} + 20 + (c_custkey * 31) % 50",
+    "parcel_id": "case when c_custkey % 11 = 0 then null else cast(floor(c_custkey / 2) as bigint) end", "excluded": "c_custkey % 37 = 0", "animal_type": "c_mktsegment",
 }
-_COPY = _BOX | {"id": "cast(c_custkey as bigint) + 10000000", "xmin": f"{h1('c_custkey')} + 1", "ymin": f"{h2('c_custkey')} + 1"}
+_COPY = _BOX | {"id": "-1 - cast(c_custkey as bigint)", "xmin": f"{_X} + 1", "ymin": f"{h2('c_custkey')} + 1"}
+_PX = f"{h1('p_partkey * 3 + 1')} + {_district('p_partkey', 2000)}"
+_TX = f"cast(p_partkey % 40 as bigint) * 2002 + {_district('p_partkey', 1600)}"
+_TY = "cast(floor((p_partkey % 1600) / 40) as bigint) * 2002"
+
+
+def _owner(key: str) -> str:
+    return f"case when ({key}) % 13 = 0 then '' else concat(p_name, ' ', p_type, case when ({key}) % 3 = 0 then ' Family Trust, LLC' when ({key}) % 3 = 1 then ' & Sons Dairy' else ' Farms Inc.' end) end"
+
 
 #: view -> [(table, columns, condition)], united in order
 VIEWS: dict[str, list[tuple[str, dict[str, str], str]]] = {
@@ -32,40 +49,47 @@ VIEWS: dict[str, list[tuple[str, dict[str, str], str]]] = {
         (
             "part",
             {
-                "id": "cast(p_partkey as bigint)", "rx": h1("p_partkey * 3 + 1"), "ry": h2("p_partkey * 3 + 1"),
-                "gx": f"case when p_size % 10 = 0 then null else {h1('p_partkey * 3 + 1')} + p_size * 10 end", "gy": f"case when p_size % 10 = 0 then null else {h2('p_partkey * 3 + 1')} end",
+                "id": "cast(p_partkey as bigint)", "rx": _PX, "ry": h2("p_partkey * 3 + 1"),
+                "gx": f"case when p_size % 10 = 0 then null else {_PX} + p_size * 10 end", "gy": f"case when p_size % 10 = 0 then null else {h2('p_partkey * 3 + 1')} end",
                 "status": "case when p_partkey % 3 = 0 then 'Historical' else 'Active' end", "program": "p_type", "population": "cast(p_size * 20 as bigint)",
             },
-            "p_partkey % 5 = 0",
+            "true",
         )
     ],
     "tile": [
         (
             "part",
             {
-                "id": "cast(p_partkey as bigint)", "xmin": "cast(p_partkey % 40 as bigint) * 1001", "ymin": "cast(floor(p_partkey / 40) as bigint) * 1001",
-                "xmax": "cast(p_partkey % 40 as bigint) * 1001 + 1001", "ymax": "cast(floor(p_partkey / 40) as bigint) * 1001 + 1001",
+                "id": "cast(p_partkey as bigint)", "xmin": _TX, "ymin": _TY, "xmax": f"{_TX} + 2002", "ymax": f"{_TY} + 2002",
                 "bucket": "case p_size % 8 when 0 then null when 1 then '0' when 2 then '1' when 3 then '1.25' when 4 then '1.75' when 5 then '3' when 6 then 'inf' else 'ex ante permit' end",
             },
-            "p_partkey < 1600",
+            "true",
         )
     ],
-    "tile_annotation": [("events", {"tile_id": "cast(event_id % 1600 as bigint)", "annotator": "cast(user_id % 4 as bigint)", "label": "event_type"}, "true")],
+    "tile_annotation": [("events", {"id": "event_id", "tile_id": "cast(floor(event_id / 6) as bigint)", "annotator": "cast(user_id % 4 as bigint)", "label": "event_type"}, "true")],
     "cafo_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "is_cafo": "o_orderkey % 40 <> 0", "annotated_on": "o_orderdate", "phase": "cast(o_orderkey % 2 as int)"}, "true")],
-    "parcel": [("documents", {"id": "doc_id", "owner": "case when doc_id % 13 = 0 then '' else lower(substring(text, 1, 24)) end"}, "doc_id < 700")],
+    "construction_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "built": "cast(year(o_orderdate) as int)", "destroyed": "case when o_orderstatus = 'F' then cast(year(o_orderdate) + 18 as int) end", "annotated": "o_orderkey"}, "true")],
+    "parcel": [("part", {"id": "cast(p_partkey as bigint)", "owner": _owner("p_partkey"), "number": "p_brand"}, "true")],
+    "owner_verdict": [("part", {"name": "concat(p_name, ' ', p_type, ' Farms Inc.')", "related": "concat(p_name, ' ', p_type, ' & Sons Dairy')", "matched": "p_size % 2 = 0"}, "true")],
     "rating": [("labels", {"id": "doc_id", "a": "quality = 1", "b": "toxic = 1"}, "true")],
     "county": [
         (
             "nation",
             {
-                "id": "cast(n_nationkey as bigint)", "name": "n_name", "county_group": "cast(n_regionkey as bigint)", "xmin": "cast(n_nationkey % 5 as bigint) * 8002", "ymin": "cast(floor(n_nationkey / 5) as bigint) * 8002",
+                "id": "cast(n_nationkey as bigint)", "name": "n_name", "county_group": "cast(n_regionkey as bigint)", "xmin": "cast(n_nationkey % 5 as bigint) * 16020", "ymin": "cast(floor(n_nationkey / 5) as bigint) * 16020",
             },
             "true",
         )
     ],
+    "urban_mask": [("region", {"id": "cast(r_regionkey as bigint)", "xmin": "cast(r_regionkey * 15000 as bigint)", "ymin": "cast(r_regionkey * 15000 as bigint)", "xmax": "cast(r_regionkey * 15000 + 12000 as bigint)", "ymax": "cast(r_regionkey * 15000 + 12000 as bigint)"}, "true")],
 }
 
 
+def county_of(x: str, y: str) -> str:
+    """The county (one of 25 boxes a district) that holds a point."""
+    return f"cast(floor((({x}) % {DISTRICT}) / 16020) as bigint) + 5 * cast(floor(({y}) / 16020) as bigint)"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     parts = None
     for table, columns, condition in VIEWS[name]:
