@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import geoledger.plans.linkage  # noqa: F401  (registers its queries)
 from geoledger.plans.library import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
