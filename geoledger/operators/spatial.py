@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoledger.operators.storage import materialize
+
 
 def _cells(lo: str, hi: str, cell: int) -> str:
     return f"sequence(cast(floor({lo} / {cell}) as bigint), cast(floor({hi} / {cell}) as bigint))"
@@ -46,3 +48,25 @@ def self_pairs(boxes: DataFrame, within: int) -> DataFrame:
     """``(id_a, id_b, d2)`` with id_a < id_b of boxes at most ``within`` apart."""
     got = grid_join(boxes, boxes, within).where("l.id < r.id")
     return got.select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"), "d2")
+
+
+def nearest(left: DataFrame, right: DataFrame, start: int, apart: str = "true") -> DataFrame:
+    """``(id, other, d2)``: the nearest right box of every left one, ties to the smallest id.
+
+    Rings: rows without a match within ``start`` are retried at twice the reach, so dense places never
+    meet a large cell. ``apart`` may forbid pairs (of ``l`` and ``r``). Left rows with null bounds, or
+    with nothing to be near to within the data's extent, have no row.
+    """
+    both = left.select("xmin", "ymin", "xmax", "ymax").union(right.select("xmin", "ymin", "xmax", "ymax"))
+    lo_x, lo_y, hi_x, hi_y = both.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+    found, rest, reach = None, left.where("xmin is not null"), start
+    while True:
+        hits = grid_join(rest, right, reach).where(apart).groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("d2", F.col("r.id").alias("other"))).alias("t"))
+        hits = materialize(hits.select("id", "t.other", "t.d2"), "near")
+        found = hits if found is None else found.union(hits)
+        if lo_x is None or reach > (hi_x - lo_x) + (hi_y - lo_y):
+            return found
+        rest = materialize(rest.join(hits, "id", "left_anti"), "rest")
+        if rest.isEmpty():
+            return found
+        reach *= 2

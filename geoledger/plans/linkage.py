@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from geoledger.operators.components import connected_components
 from geoledger.operators.names import clean_name, fuzzy_pairs, tfidf_pairs
@@ -205,8 +205,7 @@ def closest_pairs(spark, d):
     return best.join(own.toDF("id_a", "owner_a"), "id_a").join(own.toDF("id_b", "owner_b"), "id_b").select("id_a", "id_b", F.sqrt("d2").alias("distance"), "owner_a", "owner_b")
 
 
-@query("parcels_sharing_number", ["parcel"], """, g as (select number, count(*) as n, min(id) as first_id, string_agg(distinct owner, '; ' order by owner) as owners from parcel where owner <> '' group by number having count(*) > 1)
-    select number, n, first_id, owners, row_number() over (order by n desc, number) as place from g""")
+@query("parcels_sharing_number", ["parcel"], " select number, count(*) as n, min(id) as first_id, string_agg(distinct owner, '; ' order by owner) as owners from parcel where owner <> '' group by number having count(*) > 1")
 def sharing(spark, d):
     g = view(spark, d, "parcel").where("owner <> ''").groupBy("number").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.array_join(F.sort_array(F.collect_set("owner")), "; ").alias("owners"))
-    return g.where("n > 1").withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "number")).cast("long"))
+    return g.where("n > 1")

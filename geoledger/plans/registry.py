@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import geoledger.plans.linkage  # noqa: F401  (registers its queries)
+import geoledger.plans.linkage
+import geoledger.plans.matching  # noqa: F401  (registers its queries)
 from geoledger.plans.library import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
