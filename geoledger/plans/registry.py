@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import geoledger.plans.estimates
 import geoledger.plans.linkage
-import geoledger.plans.matching  # noqa: F401  (registers its queries)
+import geoledger.plans.matching
+import geoledger.plans.reports  # noqa: F401  (registers its queries)
 from geoledger.plans.library import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
