@@ -105,4 +105,6 @@ def view_sql(name: str) -> str:
 
 
 def with_views(names: list[str], sql: str, recursive: bool = False) -> str:
+    if not names:
+        return sql
     return f"with {'recursive ' if recursive else ''}{', '.join(view_sql(n) for n in names)}{sql}"
