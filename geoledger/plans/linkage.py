@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from geoledger.operators.bridges import bridges
 from geoledger.operators.components import connected_components
 from geoledger.operators.names import clean_name, fuzzy_pairs, tfidf_pairs
 from geoledger.operators.spatial import self_pairs
@@ -209,3 +210,12 @@ def closest_pairs(spark, d):
 def sharing(spark, d):
     g = view(spark, d, "parcel").where("owner <> ''").groupBy("number").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.array_join(F.sort_array(F.collect_set("owner")), "; ").alias("owners"))
     return g.where("n > 1")
+
+
+@query("cluster_bridges", ["building"], f""", e as (select a.id as u, b.id as v from building a join building b on a.id < b.id and not a.excluded and not b.excluded and {_D2} <= 160000),
+    s as (select u, v from e union all select v, u from e), reach(u, v, node) as (select u, v, u from e union select r.u, r.v, s.v from reach r join s on s.u = r.node and not (r.u = s.u and r.v = s.v) and not (r.u = s.v and r.v = s.u))
+    select u, v from e where not exists (select 1 from reach r where r.u = e.u and r.v = e.v and r.node = e.v)""", True)
+def cluster_bridges(spark, d):
+    """Edges of the 400 m graph that alone hold their cluster together."""
+    kept = view(spark, d, "building").where("not excluded").select(*_BOX)
+    return bridges(self_pairs(kept, 400).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))).select("u", "v")

@@ -115,3 +115,41 @@ def test_csv_features_and_append(spark, tmp_path):
     assert files.append_new(spark.createDataFrame([("2",), ("3",), ("3",)], "id string"), spark, str(tmp_path / "t"), "id") == 1
     with pytest.raises(ValueError, match="empty"):
         files.require_rows(full=rows, empty=rows.where("false"))
+
+
+def test_projection_is_true_to_scale_and_area(spark):
+    import math
+
+    from geoledger.functions.projection import project
+
+    rows = [(-120.0, 0.0), (-120.0, 34.0), (-119.99, 34.0), (-121.0, 37.0), (-120.99, 37.0), (-121.0, 37.01), (None, 1.0)]
+    x, y = project("lon", "lat")
+    got = [(r.x, r.y) for r in spark.createDataFrame(rows, "lon double, lat double").selectExpr(f"{x} as x", f"{y} as y").collect()]
+    assert got[0] == pytest.approx((0, -4_000_000), abs=1e-3) and got[6][0] is None
+    e2 = 0.00669438002290
+    along = lambda lat: 6378137 * math.cos(math.radians(lat)) / math.sqrt(1 - e2 * math.sin(math.radians(lat)) ** 2) * math.radians(0.01)
+    assert math.dist(got[1], got[2]) == pytest.approx(along(34), rel=1e-6)  # a standard parallel keeps its length
+    up = 6378137 * (1 - e2) / (1 - e2 * math.sin(math.radians(37.005)) ** 2) ** 1.5 * math.radians(0.01)
+    cross = abs((got[4][0] - got[3][0]) * (got[5][1] - got[3][1]) - (got[4][1] - got[3][1]) * (got[5][0] - got[3][0]))
+    assert cross == pytest.approx(along(37.0) * up, rel=1e-4)
+
+
+def test_unscored_queries_hold_their_invariants(spark):
+    from geoledger.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    batch = QUERIES["second_rater_batch"](spark, sf).collect()
+    raters = {}
+    for r in batch:
+        raters.setdefault(r.id, set()).add(r.rater)
+    assert all(len(v) == 2 for v in raters.values())
+    pairs = {}
+    for r in batch:
+        pairs.setdefault((r.status, r.pair), []).append(r.rater)
+    assert all(len(v) == len(set(v)) for v in pairs.values()) and sorted(map(len, pairs.values()))[-1] == 4
+    a, b = (QUERIES["sampled_population"](spark, sf).collect() for _ in range(2))
+    assert a == b and a[0].lower <= a[0].point <= a[0].upper
+    parts = {r.part: r for r in QUERIES["split_estimate"](spark, sf).collect()}
+    assert parts["all"].point_n == sum(r.point_n for k, r in parts.items() if k != "all")
+    known = sum(r.positive for r in QUERIES["tile_status"](spark, sf).select("positive").collect())
+    assert parts["all"].point_n >= known
