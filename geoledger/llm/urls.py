@@ -14,6 +14,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SEEDS = ["ads", "bets", "casino", "cheap", "farm", "free", "pills", "spam", "track", "win"]
 #: Longest word that a label is split into.
 LONGEST = 24
+#: Seed words together count for this share of all other words, SEED_LEAST times each at least.
+SEED_SHARE, SEED_LEAST = 0.5, 1000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -42,6 +44,11 @@ def _tokens(c: Column) -> Column:
 def segmented(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
     """``(label, words)``: the most probable split of each distinct label into known words.
 
+    ``unigrams`` is ``(word, n, own)``; ``own`` of the ``n`` come from host labels that are the
+    word. A label's own occurrences don't count for the label as one word, however frequent it
+    is: it has ``n - own``, and at least the chance of a new word, which depends on its length
+    and not on the table's size.
+
     Every substring of up to LONGEST characters is looked up in the unigram table by a join, so
     neither table is broadcast or capped; then one pass of Viterbi per label picks the split.
     Unknown stretches cost per character what a word never seen would.
@@ -49,7 +56,7 @@ def segmented(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
     total = unigrams.agg(F.sum("n")).first()[0] or 1
     starts = F.expr(f"explode(flatten(transform(sequence(1, length(label)), i -> transform(sequence(1, least({LONGEST}, length(label) - i + 1)), k -> named_struct('i', i, 'k', k)))))")
     parts = labels.where("length(label) > 0").select("label", starts.alias("s")).select("label", "s.i", "s.k", F.expr("substring(label, s.i, s.k)").alias("word"))
-    known = parts.join(unigrams, "word").groupBy("label").agg(F.collect_list(F.struct("i", "k", "n")).alias("parts"))
+    known = parts.join(unigrams, "word").groupBy("label").agg(F.collect_list(F.struct("i", "k", F.when(F.col("word") == F.col("label"), F.col("n") - F.col("own")).otherwise(F.col("n")).alias("n"))).alias("parts"))
     known = labels.join(known, "label", "left")
 
     def run(batches):
@@ -58,7 +65,9 @@ def segmented(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
             for label, options in zip(b.column("label").to_pylist(), b.column("parts").to_pylist(), strict=True):
                 ends: list[list[tuple[int, float]]] = [[] for _ in range(len(label) + 1)]
                 for o in options or []:
-                    ends[o["i"] - 1 + o["k"]].append((o["i"] - 1, math.log(o["n"] / total)))
+                    if o["n"]:
+                        ends[o["i"] - 1 + o["k"]].append((o["i"] - 1, math.log(o["n"] / total)))
+                ends[-1].append((0, -12.0 - len(label)))
                 best, back = [0.0], [0]
                 for e in range(1, len(label) + 1):
                     one = (best[e - 1] - math.log(total) - 12.0, e - 1)
@@ -83,7 +92,9 @@ def segmented(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, seeds=SEEDS) -> DataFrame:
     """``(row, host, path, rule, words, log_odds, verdict)`` for every row.
 
-    Unigram counts come from all tokens of all hosts and paths and the seed words. Naive Bayes
+    A word counts once in each distinct dotted part of a host and in each distinct URL whose path
+    has it and whose host doesn't; seed words have a share of that total besides. So neither
+    repeated rows nor a frequent host make a word of a label that is several. Naive Bayes
     learns from all distinct hosts: a host with a seed word among its segments is an example of
     what to block, any other of what to allow, each with all its segments and path tokens. A URL
     is blocked by the method when its words' log odds are above 0. The longest rule overrides.
@@ -95,11 +106,16 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, seeds=SEEDS)
     rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
     # one row a distinct host and path: what repeats is counted before anything is exploded
     urls = materialize(rows.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
-    tokens = urls.select(F.explode(F.concat(_tokens(F.col("host")), _tokens(F.col("path")))).alias("word"), "n")
-    extra = pages.sparkSession.createDataFrame([(w, 1000) for w in seeds], "word string, n bigint")
-    unigrams = materialize(tokens.where("length(word) > 1").union(extra).groupBy("word").agg(F.sum("n").alias("n")), "url-words")
-    hosts = urls.select("host").distinct().withColumn("label", F.explode(F.split("host", r"[^\p{L}\p{N}]+")))
-    split = segmented(hosts.where("label <> ''").select("label").distinct(), unigrams.where(F.length("word") <= LONGEST))
+    labels = F.filter(F.split("host", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    foreign = urls.select(F.explode(F.array_except(_tokens(F.col("path")), labels)).alias("word"), F.lit(0).alias("own"))
+    parts = urls.select("host").distinct().select(F.explode(F.split("host", "[.]")).alias("part")).distinct()
+    tokens = foreign.union(parts.select(F.explode(F.array_distinct(_tokens(F.col("part")))), F.lit(1))).where("length(word) > 1")
+    tokens = materialize(tokens.groupBy("word").agg(F.count("*").alias("n"), F.sum("own").alias("own")), "url-tokens")
+    each_seed = max(SEED_LEAST, int((tokens.agg(F.sum("n")).first()[0] or 0) * SEED_SHARE / max(len(seeds), 1)))
+    extra = pages.sparkSession.createDataFrame([(w, each_seed, 0) for w in seeds], "word string, n bigint, own bigint")
+    unigrams = materialize(tokens.union(extra).groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "url-words")
+    hosts = urls.select("host").distinct().withColumn("label", F.explode(labels))
+    split = segmented(hosts.select("label").distinct(), unigrams.where(F.length("word") <= LONGEST))
     by_host = hosts.join(split, "label").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("host_words"))
     by_host = materialize(by_host.withColumn("bad", F.arrays_overlap("host_words", F.array(*[F.lit(s) for s in seeds]))), "url-hosts")
     full = urls.join(by_host, "host", "left").withColumn("words", F.concat(F.coalesce("host_words", F.expr("cast(array() as array<string>)")), _tokens(F.col("path"))))

@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoledger.llm import exact_dedup, huffman, licenses, media, minhash, mixing, packing, pii, queries, toxicity, urls
 from geoledger.llm.tokens import TextEncoder, public_path
@@ -266,6 +267,19 @@ def test_urls(spark):
     assert got[41].verdict == "allow"
 
 
+@pytest.mark.parametrize("times", [1, 5])
+def test_a_frequent_concatenated_host_is_split(spark, times):
+    """A third of a table; its name stands in its paths and subdomains, and rows are repeated."""
+    kind = F.when(F.col("id") % 3 == 0, "freebets").otherwise(F.concat(F.lit("garden"), F.col("id") % 50))
+    url = F.concat(F.lit("http://"), F.when(F.col("id") % 6 == 0, F.concat(F.lit("s"), F.col("id") % 40, F.lit("."))).otherwise(""), kind, F.lit(".example.com/"), kind, F.lit("/"), F.col("id"))
+    rows = spark.range(2000 * times).select("id", url.alias("url"))
+    pages = rows.union(rows).union(spark.createDataFrame([(-1, "http://myfreebets.example.com/x"), (-2, "http://windows.example.com/my/x")], "id bigint, url string"))
+    got = urls.judge_urls(pages)
+    assert {(r.bad, r.verdict) for r in got.select((F.col("row.id") % 3 == 0).alias("bad"), "verdict").where("row.id >= 0").distinct().collect()} == {(True, "block"), (False, "allow")}
+    words = {r.host.split(".")[0]: r.words for r in got.where("row.id in (3, -1, -2)").collect()}
+    assert {"free", "bets"} <= set(words["freebets"]) and {"free", "bets"} <= set(words["myfreebets"]) and "windows" in words["windows"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
