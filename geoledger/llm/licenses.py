@@ -23,6 +23,8 @@ TEMPLATES = {
 }
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
+#: Lines without a word, between paragraphs.
+BLANK = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 
 
 def license_words(text: Column) -> Column:
@@ -46,8 +48,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     """``(row, n_words, places, matches)``: row holds all columns; ``places`` are (label, start)
     of fixed phrases by word, ``matches`` are (block, label, containment) of text blocks.
 
-    A block is a line; it matches a template when it has at least ``containment`` of the
-    template's distinct tokens. The join is exact: tokens are ordered by global frequency; a block
+    A block is a line, a paragraph between lines without words, or a window of 5/4 of the
+    template's words anywhere in the text, so wrapping doesn't matter. It matches a template when
+    it has at least ``containment`` of the template's distinct tokens; it is named by its first
+    line. Paragraphs and windows count where no line of theirs matches that template by itself;
+    of overlapping ones the best counts, then the shortest, then the last. The join is exact: tokens are ordered by global frequency; a block
     must share one of a template's rarest |T| - need + 1 tokens (prefix), have at least ``need``
     known tokens (length), and enough must be left from the first shared token on (position);
     only then is the whole intersection counted. The templates are a parameter and the smaller
@@ -74,7 +79,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         prefix = tokens[: len(tokens) - need + 1]
         prefixes |= set(prefix)
         lits = lambda ws: "array(" + ", ".join(f"'{w}'" for w in ws) + ")"
-        entries.append(f"named_struct('label', '{label}', 'tokens', {lits(tokens)}, 'prefix', {lits(prefix)}, 'need', {need})")
+        entries.append(f"named_struct('label', '{label}', 'tokens', {lits(tokens)}, 'prefix', {lits(prefix)}, 'need', {need}, 'width', {len(text.split()) * 5 // 4})")
     base = base.withColumn("places", F.expr(f"concat({', '.join(places)})")).withColumn("n_words", F.size("words").cast("long"))
     rare = _strings(sorted(prefixes))
     lines = F.when(F.arrays_overlap("words", rare), F.split(F.col("text"), "\n"))
@@ -87,7 +92,26 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         t -> named_struct('block', b.block, 'label', t.label, 'containment', size(array_intersect(t.tokens, b.known)) / size(t.tokens)))))"""
     empty = "cast(array() as array<struct<block:int,label:string,containment:double>>)"
     found = F.expr(match if templates else empty)
-    return base.select("row", "n_words", "places", F.when(F.size("blocks") > 0, found).otherwise(F.expr(empty)).alias("matches"))
+    if not templates:
+        return base.select("row", "n_words", "places", F.expr(empty).alias("matches"))
+    base = base.withColumn("by_line", F.when(F.size("blocks") > 0, found).otherwise(F.expr(empty)))
+    # only texts with enough of a template's tokens on more than one line are looked at in windows
+    known = F.when(F.col("text").contains("\n") & F.arrays_overlap("words", rare), F.array_intersect(_strings(order), F.col("words")))
+    base = base.withColumn("known", known)
+    base = base.withColumn("near", F.expr(f"filter(array({', '.join(entries)}), t -> size(array_intersect(t.tokens, known)) >= t.need)"))
+    some = F.size("near") > 0
+    line_of = F.flatten(F.transform(F.split("text", "\n"), lambda x, k: F.array_repeat(k, F.size(license_words(x)))))
+    base = base.withColumn("line_of", F.when(some, line_of)).withColumn("sizes", F.when(some, F.transform(F.split("text", BLANK), lambda x: F.size(license_words(x)))))
+    paragraphs = "transform(sequence(0, size(sizes) - 1), k -> named_struct('i', aggregate(slice(sizes, 1, k), 0, (a, x) -> a + x), 'n', sizes[k]))"
+    base = base.withColumn("paragraphs", F.expr(f"filter({paragraphs}, p -> p.n > 0)"))
+    windows = "transform(filter(sequence(0, size(words) - 1), i -> array_contains(t.tokens, words[i])), i -> named_struct('i', i, 'n', least(t.width, size(words) - i)))"
+    hits = f"transform(concat(paragraphs, {windows}), s -> named_struct('c', -size(array_intersect(t.tokens, slice(words, s.i + 1, s.n))), 'n', s.n, 'r', -s.i, 'i', s.i))"
+    alone = "not exists(by_line, m -> m.label = t.label and m.block between line_of[h.i] and line_of[h.i + h.n - 1])"
+    best = f"""aggregate(array_sort(filter({hits}, h -> -h.c >= t.need and {alone})), cast(array() as array<struct<c:int,n:int,r:int,i:int>>),
+        (a, h) -> if(exists(a, g -> g.i < h.i + h.n and h.i < g.i + g.n), a, concat(a, array(h))))"""
+    spans = F.expr(f"flatten(transform(near, t -> transform({best}, h -> named_struct('block', line_of[h.i], 'label', t.label, 'containment', -h.c / size(t.tokens)))))")
+    matches = F.when(some, F.concat("by_line", F.array_distinct(spans))).otherwise(F.col("by_line"))
+    return base.select("row", "n_words", "places", matches.alias("matches"))
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:

@@ -267,6 +267,25 @@ def test_urls(spark):
     assert got[41].verdict == "allow"
 
 
+def test_wrapped_licenses(spark):
+    """However a license is wrapped, indented, commented or double-spaced, it is found."""
+    import textwrap
+
+    rows, want = [], {}
+    for k, (label, t) in enumerate(licenses.TEMPLATES.items()):
+        for j, (width, lead, end) in enumerate([(72, "", "\n"), (40, " * ", "\n"), (30, "# ", "\n\n"), (500, "", "\n")]):
+            body = end.join(lead + x for x in textwrap.wrap(t.capitalize() + ".", width))
+            rows.append((10 * k + j, f"Some words before\nand one line more\n\n{body}\n\nOther text after it\n" + "and more lines\n" * 30))
+            want[10 * k + j] = label
+    rows += [(900, "permission\n" + "other words here\n\n" * 40 + "is hereby granted free of charge\n" + "other words here\n\n" * 40 + "to any person obtaining a copy of this software and associated")]
+    got = {r.row.doc_id: r.matches for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    for k, label in want.items():
+        found = [(m.block, m.containment) for m in got[k] if m.label == label]
+        # a line that has enough of the tokens alone counts by itself, with its own share
+        assert found == [(3, 1.0)] or len(found) == 1 and found[0][0] >= 3 and found[0][1] >= licenses.CONTAINMENT and label != "bsd", (k, label, got[k])
+    assert "mit-grant" not in {m.label for m in got[900]}
+
+
 @pytest.mark.parametrize("times", [1, 5])
 def test_a_frequent_concatenated_host_is_split(spark, times):
     """A third of a table; its name stands in its paths and subdomains, and rows are repeated."""
