@@ -256,9 +256,30 @@ def latest_construction(spark, d):
 @query("construction_stock", ["construction_annotation"], """, y as (select cast(unnest(range(1995, 2021)) as int) as year), k as (select building_id, min(built) as built, max(destroyed) as gone from construction_annotation group by 1)
     select year, count(case when built <= year and (gone is null or gone > year) then 1 end) as standing, count(case when built = year then 1 end) as built, count(case when gone = year then 1 end) as gone from y, k group by year""")
 def stock(spark, d):
-    """Stock by year from +1/-1 events and a running sum over the year spine; no range join."""
+    """Stock by year from +1/-1 events and a running sum over the year spine; no range join.
+
+    What happened before the spine is in its first year's stock.
+    """
     k = view(spark, d, "construction_annotation").groupBy("building_id").agg(F.min("built").alias("built"), F.max("destroyed").alias("gone"))
     ev = k.select(F.explode(F.array(F.struct(F.col("built").alias("year"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("gone").alias("year"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
-    per = ev.select("e.*").where("year is not null").groupBy("year").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    per = ev.select("e.*").where("year is not null").groupBy("year").agg(F.sum("up").alias("built"), F.sum("down").alias("gone"))
+    return _standing(spark, k.select(F.col("built").alias("first"), F.col("gone").alias("until")), "standing").join(per, "year", "left").na.fill(0).select("year", "standing", "built", "gone")
+
+
+def _standing(spark, spans, name):
+    """(year, name) of the spine: how many of ``spans(first, until)`` have first <= year < until; no ``until`` is for ever."""
+    at = lambda c, n: F.struct(F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(1995))).alias("year"), F.lit(n).alias("n"))
+    ev = spans.where("first is not null and (until is null or until > first)").select(F.explode(F.array(at("first", 1), at("until", -1))).alias("e"))
+    per = ev.select("e.*").where("year is not null").groupBy("year").agg(F.sum("n").alias("n"))
     y = spark.range(1995, 2021).select(F.col("id").cast("int").alias("year")).join(per, "year", "left").na.fill(0)
-    return y.select("year", F.sum(F.col("up") - F.col("down")).over(W.orderBy("year")).alias("standing"), F.col("up").alias("built"), F.col("down").alias("gone"))
+    return y.select("year", F.sum("n").over(W.orderBy("year")).alias(name))
+
+
+@query("construction_stock_bounds", ["construction_annotation"], """, y as (select cast(unnest(range(1995, 2021)) as int) as year),
+    k as (select building_id, min(built) as b0, max(built) as b1, min(destroyed) as g0, max(destroyed) as g1 from construction_annotation group by 1)
+    select year, count(case when (b1 <= year or b0 is null) and (g0 >= year or g0 is null) then 1 end) as strict, count(case when (b0 <= year or b0 is null) and (g1 >= year or g1 is null) then 1 end) as loose from y, k group by year""")
+def stock_bounds(spark, d):
+    """Buildings that stood in a year for certain (latest building, earliest loss) and possibly (the other way round)."""
+    k = view(spark, d, "construction_annotation").groupBy("building_id").agg(F.min("built").alias("b0"), F.max("built").alias("b1"), F.min("destroyed").alias("g0"), F.max("destroyed").alias("g1"))
+    spans = lambda built, gone: k.selectExpr(f"coalesce({built}, 0) as first", f"{gone} + 1 as until")
+    return _standing(spark, spans("b1", "g0"), "strict").join(_standing(spark, spans("b0", "g1"), "loose"), "year")

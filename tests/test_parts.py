@@ -153,3 +153,24 @@ def test_unscored_queries_hold_their_invariants(spark):
     assert parts["all"].point_n == sum(r.point_n for k, r in parts.items() if k != "all")
     known = sum(r.positive for r in QUERIES["tile_status"](spark, sf).select("positive").collect())
     assert parts["all"].point_n >= known
+
+
+def test_stock_counts_what_was_built_before_the_spine(spark, monkeypatch):
+    from geoledger.plans import matching
+
+    rows = [(1, 1990, None, 1), (2, 1992, 1994, 2), (3, 1993, 1997, 3), (4, 1996, None, 4), (5, 1995, 1996, 5), (5, 1998, 2001, 6), (6, None, 1999, 7), (7, 2000, 2000, 8)]
+    table = spark.createDataFrame(rows, "building_id bigint, built int, destroyed int, annotated bigint")
+    monkeypatch.setattr(matching, "view", lambda *a: table)
+    ends = {}
+    for i, b, g, _ in rows:
+        ends.setdefault(i, []).append((b, g))
+    low, high = lambda x: min(x, default=None), lambda x: max(x, default=None)
+    pick = {i: (low(b), high(b), low(g), high(g)) for i, v in ends.items() for b, g in [([x for x, _ in v if x is not None], [x for _, x in v if x is not None])]}
+    got = {r.year: (r.standing, r.built, r.gone) for r in matching.stock(spark, "").collect()}
+    assert got == {
+        y: (sum(b0 is not None and b0 <= y and (g1 is None or g1 > y) for b0, _, _, g1 in pick.values()), sum(p[0] == y for p in pick.values()), sum(p[3] == y for p in pick.values()))
+        for y in range(1995, 2021)
+    }
+    bounds = {r.year: (r.strict, r.loose) for r in matching.stock_bounds(spark, "").collect()}
+    stood = lambda b, g, y: (b is None or b <= y) and (g is None or g >= y)
+    assert bounds == {y: (sum(stood(b1, g0, y) for _, b1, g0, _ in pick.values()), sum(stood(b0, g1, y) for b0, _, _, g1 in pick.values())) for y in range(1995, 2021)}
