@@ -267,6 +267,16 @@ def test_urls(spark):
     assert got[41].verdict == "allow"
 
 
+def test_short_names_disclose(spark):
+    """Names of two to three letters, in Latin and CJK, and one of more than forty."""
+    names = ["Kim", "Ana", "\u674e\u660e", "Li", "Wolf" + "e" * 50]
+    rows = [(k, f"The file of {names[k // 5] if k < 25 else 'nobody'} says {'q' * (k % 7 + 4)} {f'write to z{k // 5}@qq.org' if k < 25 else 'in the end to all'}") for k in range(400)]
+    rows += [(500, "again kim was there")]
+    found = {r.row.doc_id: {s.value for s in r.term} for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert all(names[k // 5] in found[k] for k in range(25)) and found[500] == {"kim"} and found[300] == set()
+    assert not {"to", "of", "the", "The"} & set().union(*found.values())
+
+
 def test_wrapped_licenses(spark):
     """However a license is wrapped, indented, commented or double-spaced, it is found."""
     import textwrap
