@@ -105,7 +105,7 @@ _SOURCES = """, rep as (select distinct annotator, tile_id as item, label from t
 
 @query("multiplicity_estimate", ["tile_annotation"], _SOURCES + " select s.label, any_value(st.n) as sources, sum(w) as estimate from src s join st using (label) group by s.label")
 def multiplicity(spark, d):
-    """Items reported by several sources count 1/k for each; sums over sources scale to the stratum."""
+    """Items reported by several sources count 1/k for each, summed over all sources; nothing is sampled or scaled by N/n."""
     a = view(spark, d, "tile_annotation")
     rep = a.where("label in ('purchase', 'click')").select("annotator", F.col("tile_id").alias("item"), "label").distinct()
     k = rep.groupBy("item", "label").agg(F.count("*").alias("k"))
