@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from geoledger.llm.common import materialize, scratch_path
-from geoledger.llm.tokens import text_encoder, public_path
+from geoledger.llm.tokens import public_path, slices, text_encoder
 
 #: Longest code, ids from one bit-offset checkpoint to the next, and ids to a block.
 LIMIT, EVERY, BLOCK = 18, 256, 1 << 16
@@ -121,17 +121,22 @@ def decode(data: bytes, marks: np.ndarray, counts: list[int], table: tuple) -> l
     return np.split(out[np.arange(EVERY) < left[:, None]], np.cumsum(counts)[:-1])
 
 
-def tokenize(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, tie, ids)``: ids as little-endian unsigned 16-bit, or 32-bit for large vocabularies."""
+def width_of(vocabulary: int) -> str:
+    """How raw ids are held: little-endian unsigned 16-bit where all ids fit, else 32-bit."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str, width: str = "<u4") -> DataFrame:
+    """``(doc_id, tie, ids)``: the ids of each whole text and then ``end_id``, as numbers of type ``width``."""
 
     def run(batches):
-        encoder = text_encoder(public_path(tokenizer), kind)
+        encoder, end = text_encoder(public_path(tokenizer), kind), np.array([end_id], width).tobytes()
         for batch in batches:
-            texts, keys = [t or "" for t in batch.column(1).to_pylist()], batch.column(0)
-            for i in range(0, len(texts), 500):
-                ids = [np.append(x, end_id).astype("<u2").tobytes() for x in encoder.encode(texts[i : i + 500])]
+            keys = batch.column(0)
+            for at, texts in slices(batch.column(1)):
+                ids = [x.astype(width).tobytes() + end for x in encoder.encode(texts)]
                 tie = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys.slice(i, 500), tie, pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(texts)), tie, pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, tie bigint, ids binary")
@@ -140,11 +145,13 @@ def tokenize(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: st
 def global_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs: counted per task, summed by Spark; bounded by the vocabulary."""
 
+    width = width_of(vocabulary)
+
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                total += np.bincount(np.frombuffer(b"".join(b.column(0).slice(i, 500).to_pylist()), "<u2"), minlength=vocabulary)
+                total += np.bincount(np.frombuffer(b"".join(b.column(0).slice(i, 500).to_pylist()), width), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -172,8 +179,9 @@ def write_ids(
     documents begin at whole bytes. Null text counts as empty, null ids come first, rows that
     repeat an id stand in order of a checksum. An empty table writes empty tables.
     """
-    spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer, kind, end_id, id_col, text_col), "token-ids", "zstd")
+    spark, width = docs.sparkSession, width_of(vocabulary)
+    each = np.dtype(width).itemsize
+    tokens = materialize(tokenize(docs, tokenizer, kind, end_id, id_col, text_col, width), "token-ids", "zstd")
     lengths = code_lengths(global_counts(tokens, vocabulary))
     used = [(int(k), int(lengths[k])) for k in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
@@ -189,8 +197,8 @@ def write_ids(
         names = ["part", "block", "doc_ids", "counts", "checkpoints", "payload"]
 
         def flush():
-            n = np.array([len(x) for _, x in rows], np.int64) // 2
-            payload, marks = encode_documents(np.frombuffer(b"".join(x for _, x in rows), "<u2"), n, codes, lengths)
+            n = np.array([len(x) for _, x in rows], np.int64) // each
+            payload, marks = encode_documents(np.frombuffer(b"".join(x for _, x in rows), width), n, codes, lengths)
             start = np.cumsum([0, *map(len, payload)])[:-1]
             marks = np.concatenate([m + 8 * i for m, i in zip(marks, start, strict=True)])
             cols = [[part], [made], [[d for d, _ in rows]], [n], [marks], [b"".join(payload)]]
@@ -202,7 +210,7 @@ def write_ids(
             for doc, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
                 x = x.as_py()
                 rows.append((doc, x))
-                size += len(x) // 2
+                size += len(x) // each
                 if size >= BLOCK:
                     yield flush()
                     rows, size, made = [], 0, made + 1
@@ -243,14 +251,16 @@ def read_ids(spark, path: str, digest: bool = False) -> DataFrame:
     return spark.read.parquet(f"{path}/blocks").mapInArrow(run, schema + ("ids_crc32 bigint" if digest else "ids binary"))
 
 
-def op9_token_ids(spark, sf_dir: str) -> DataFrame:
-    """Digests of the ids that were read back, with each document's start in the whole order.
+def stored_digests(docs: DataFrame, **how) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of the ids that ``write_ids`` wrote and ``read_ids`` read back.
 
-    Starts are prefix sums on three levels: documents within a block where it is decoded,
-    blocks within a part by a window sum, parts by a sum over one row per part.
+    ``start`` counts the ids of all documents before in the order of the files: null ids first, then
+    ascending; rows that repeat an id stand in order of a checksum. Starts are prefix sums on three levels: documents within a block where it is decoded,
+    blocks within a part by a window sum, parts by a sum over one row per part. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     path = scratch_path(spark, "huffman")
-    write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
+    write_ids(docs, path, **how)
     blocks = spark.read.parquet(f"{path}/blocks").select("part", "block", F.expr("aggregate(counts, 0L, (a, n) -> a + n)").alias("n"))
     blocks = materialize(blocks, "huffman-blocks")
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))
@@ -262,3 +272,7 @@ def op9_token_ids(spark, sf_dir: str) -> DataFrame:
 
     out = read_ids(spark, path, digest=True).join(starts, ["part", "block"])
     return out.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op9_token_ids(spark, sf_dir: str) -> DataFrame:
+    return stored_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from geoledger.llm.tokens import public_path, text_encoder
+from geoledger.llm.tokens import public_path, slices, text_encoder
 
 #: Context sizes, longest first.
 TIERS = (1024, 512, 256, 128, 64)
@@ -151,10 +151,9 @@ def pack_documents(
 
         ids, keys, total = [], [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             some = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                for key, found in zip(some[i : i + 500], encoder.encode(texts[i : i + 500]), strict=True):
+            for i, texts in slices(batch.column(1)):
+                for key, found in zip(some[i : i + len(texts)], encoder.encode(texts), strict=True):
                     ids.append(np.append(found, end_id).astype("<u4"))
                     keys.append(key)
                     total += len(ids[-1])
