@@ -9,13 +9,13 @@ from geoledger.operators.storage import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-low")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
     hung = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(low.select("u", F.col("m").alias("v")))
 
@@ -29,8 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Returns ``(node, component)`` for nodes that occur in an edge, each once. Ids are any
     orderable type. Null ends and loops are ignored; an empty input gives an empty result.
-    Each round is two minimum aggregates, each joined back on its key, so a hub's edges stay
-    spread over tasks and are never gathered in a list. Rounds are cut with files in the shared folder; the driver
+    Each round is two minimum aggregates, each written and then joined back on its key, so that
+    Spark can split a hub's edges over tasks; they are never gathered in a list. Rounds are cut with files in the shared folder; the driver
     sees only a count and a checksum per round. The rounds stop when the edge set is a star
     forest that no longer changes; if ``max_rounds`` passes first, a RuntimeError is raised
     rather than a wrong labelling returned.
