@@ -2,113 +2,170 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoledger.llm.common import materialize
+from geoledger.llm.tokens import slices
 
 #: Bound on the labelled rows that the model is fitted on: the first by a hash of their id.
-EXAMPLES = 20_000
-#: Neighbours that vote, examples to an index block, terms at most, least lift of a term.
-NEIGHBOURS, SPAN, TERMS, LIFT = 15, 64, 4096, 10.0
+EXAMPLES = 6_000
+#: Neighbours that vote, examples to an index block, queries that are scored at once.
+NEIGHBOURS, SPAN, QUERIES = 15, 512, 128
+#: Weight of a term that says nothing about the label, and of one for each standard deviation over EVIDENCE that its share of label 1 is off.
+FLOOR, EVIDENCE = 0.1, 3.0
 #: A text counts as toxic from this score on.
 THRESHOLD = 0.5
+#: Digits of a cosine that count; equal ones are ties.
+_UNIT = 10**12
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
+_WORD = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 
 
-def terms(text: str | None) -> list[bytes]:
-    """Runs of letters, digits and non-ASCII characters, A-Z lower-cased, of the whole text."""
-    return (text or "").encode().translate(_LOWER).split()
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(text, term, count) for each text's distinct terms, and the terms by number.
+
+    Terms are runs of letters, digits and non-ASCII characters of the whole lower-cased text; null
+    counts as empty.
+    """
+    plain = [(t or "").lower().encode().translate(_WORD) for t in texts.to_pylist()]
+    cut = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
+    coded = cut.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    owner = np.repeat(np.arange(len(plain)), pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+    keys, counts = np.unique(owner * max(len(words), 1) + coded.indices.to_numpy(), return_counts=True)
+    text, term = np.divmod(keys, max(len(words), 1))
+    if "" in words:  # white space at a text's ends
+        some = term != words.index("")
+        text, term, counts = text[some], term[some], counts[some]
+    return text, term, counts, words
+
+
+@dataclass
+class _Block:
+    """Postings of SPAN examples: for each term that they have, its largest weight and its examples."""
+
+    terms: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    examples: np.ndarray
+    weights: np.ndarray
+
+    def find(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.terms, term)
+        at[at == len(self.terms)] = 0
+        return at, self.terms[at] == term
 
 
 class BlockMaxIndex:
     """Inverted index over example vectors with the largest weight of each term in each block.
 
-    Examples are sorted by their heaviest term, so that like ones share blocks of SPAN. A query
-    takes blocks by falling upper bound, query weight times block maximum summed over its terms,
-    scores each fully, and stops when the bound is below the score of the current k-th neighbour.
+    Given are (example, term, weight) entries; examples should be numbered so that like ones share
+    blocks of SPAN. A query takes blocks by falling upper bound, query weight times block maximum summed over its terms,
+    scores each fully, and leaves out a block whose bound is below the score of its current k-th neighbour.
     The result is exact; ties go to the smaller example number.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.n = len(vectors)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for k, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((k, w))
-        self.blocks = -(-self.n // SPAN)
-        self.ids = [np.array([p[0] for p in x], np.int64) for x in postings]
-        self.weights = [np.array([p[1] for p in x]) for x in postings]
-        self.most = []
-        for ids, w in zip(self.ids, self.weights, strict=True):
-            m = np.zeros(self.blocks)
-            np.maximum.at(m, ids // SPAN, w)
-            self.most.append(m)
-
-    def search(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
-        """The ``k`` examples of largest cosine over 0 with it, best first."""
-        bound = np.zeros(self.blocks)
-        for t, w in query.items():
-            bound += w * self.most[t]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] * -1 - 1e-12:
-                break
-            score = np.zeros(SPAN)
-            for t, w in query.items():
-                a, b = np.searchsorted(self.ids[t], [block * SPAN, (block + 1) * SPAN])
-                score[self.ids[t][a:b] - block * SPAN] += w * self.weights[t][a:b]
-            hits = np.flatnonzero(score > 0)
-            best = sorted([*best, *((-round(float(score[j]), 12), int(block) * SPAN + int(j)) for j in hits)])[:k]
-        return [(j, -s) for s, j in best]
-
-
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    v = {t: (1 + math.log(c)) * float(idf[t]) for t, c in counts.items()}
-    norm = math.sqrt(sum(x * x for x in v.values()))
-    return {t: x / norm for t, x in v.items()} if norm else {}
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int):
+        self.n, self.bits, self.blocks = n, max(n.bit_length(), 1), []
+        for b in range(-(-n // SPAN)):
+            here = np.flatnonzero(example // SPAN == b)
+            here = here[np.lexsort((example[here], term[here]))]
+            terms, start, length = np.unique(term[here], return_index=True, return_counts=True)
+            most = np.maximum.reduceat(weight[here], start) if len(here) else np.zeros(0)
+            self.blocks.append(_Block(terms, most, start, length, example[here] - b * SPAN, weight[here]))
+
+    def search(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the ``k`` examples of largest cosine over 0 with each of ``n`` queries,
+        best first; -1 and 0 where there are fewer. Entries are sorted by query."""
+        parts = [self._search(query[a:b] - i, term[a:b], weight[a:b], min(QUERIES, n - i), k) for i in range(0, n, QUERIES) for a, b in [np.searchsorted(query, [i, i + QUERIES])]]
+        keys = np.concatenate(parts) if parts else np.zeros((0, k), np.int64)
+        found = keys > 0
+        return np.where(found, (1 << self.bits) - 1 - (keys & (1 << self.bits) - 1), -1), (keys >> self.bits) / _UNIT
+
+    def _search(self, query, term, weight, n, k) -> np.ndarray:
+        best = np.zeros((n, k), np.int64)
+        places, bounds = [], np.zeros((n, len(self.blocks)))
+        for b, block in enumerate(self.blocks):
+            at, hit = block.find(term) if len(block.terms) else (np.zeros(len(term), np.int64), np.zeros(len(term), bool))
+            places.append((at, hit))
+            bounds[:, b] = np.bincount(query[hit], weight[hit] * block.most[at[hit]], n)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        for r in range(len(self.blocks)):
+            for b in np.unique(order[:, r]):
+                needed = (bounds[:, b] + 2 / _UNIT) * _UNIT >= (best.min(1) >> self.bits)
+                live = (order[:, r] == b) & (bounds[:, b] > 0) & needed
+                if live.any():
+                    rows = np.flatnonzero(live)
+                    best[rows] = self._score(int(b), rows, live, query, weight, *places[b], best[rows])
+        return -np.sort(-best, axis=1)
+
+    def _score(self, b, rows, live, query, weight, at, hit, best) -> np.ndarray:
+        """The best keys (rounded cosine, then small example number) with those of block ``b``."""
+        block, place = self.blocks[b], np.zeros(len(live), np.int64)
+        place[rows] = np.arange(len(rows))
+        use = np.flatnonzero(hit & live[query])
+        length = block.length[at[use]]
+        ends = np.cumsum(length)
+        where = np.arange(int(ends[-1])) + np.repeat(block.start[at[use]] - ends + length, length)
+        cell = np.repeat(place[query[use]] * SPAN, length) + block.examples[where]
+        score = np.bincount(cell, np.repeat(weight[use], length) * block.weights[where], len(rows) * SPAN).reshape(-1, SPAN)
+        keys = np.rint(score * _UNIT).astype(np.int64) << self.bits
+        keys = np.where(keys > 0, keys | (1 << self.bits) - 1 - (b * SPAN + np.arange(SPAN)), 0)
+        both = np.concatenate([best, keys], axis=1)
+        return np.partition(both, both.shape[1] - best.shape[1], axis=1)[:, -best.shape[1] :]
 
 
 @dataclass
 class Model:
-    """Everything a task needs; its size is bounded by EXAMPLES and TERMS."""
+    """Everything a task needs; its size is bounded by the EXAMPLES texts."""
 
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
-    ids: list
+    vocabulary: pa.Array
+    weight: np.ndarray
+    ids: np.ndarray
     labels: np.ndarray
     index: BlockMaxIndex
     prior: float
-    empty: float
-    curve: list[tuple[float, float]]
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for w in terms(text):
-            t = self.vocabulary.get(w)
-            if t is not None:
-                out[t] = out.get(t, 0) + 1
-        return out
-
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        """Share of label 1 among the neighbours, each weighing the inverse of its distance."""
-        found = self.index.search(unit(counts, self.idf), NEIGHBOURS) if counts else []
-        if not found:
-            return self.empty, []
-        w = np.array([1 / (0.05 + 1 - min(s, 1.0)) for _, s in found])
-        y = self.labels[[j for j, _ in found]]
-        return float((w @ y + self.prior) / (w.sum() + 1)), found
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        raw, found = self.vote(counts)
-        if found and self.curve:
-            raw = float(np.interp(raw, [x for x, _ in self.curve], [y for _, y in self.curve]))
-        return min(max(raw, 0.0), 1.0), found
+    curve: list[tuple[float, float]] = field(default_factory=list)
+
+    def numbers(self) -> dict[str, int]:
+        return dict(zip(self.vocabulary.to_numpy(zero_copy_only=False).tolist(), range(len(self.vocabulary)), strict=True))
+
+    def vectors(self, texts: pa.Array, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) entries of unit vectors over the vocabulary, sorted by text."""
+        text, term, count, words = term_counts(texts)
+        known = np.fromiter((numbers.get(w, -1) for w in words), np.int64, len(words))
+        term = known[term] if len(words) else term
+        text, term, count = (x[term >= 0] for x in (text, term, count))
+        return text, term, unit(text, (1 + np.log(count)) * self.weight[term], len(texts))
+
+    def vote(self, found: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Share of label 1 among the neighbours, each weighing the inverse of its distance; the prior
+        share stands for one more neighbour at distance 1."""
+        if not len(self.labels):
+            return np.full(len(found), self.prior)
+        w = np.where(found >= 0, 1 / (0.05 + 1 - np.minimum(cosine, 1.0)), 0.0)
+        return ((w * self.labels[found]).sum(1) + self.prior) / (w.sum(1) + 1)
+
+    def score(self, texts: pa.Array, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, examples, cosines) of whole texts; equal texts are searched once."""
+        coded = pc.fill_null(texts, "").dictionary_encode()
+        found, cosine = self.index.search(*self.vectors(coded.dictionary, numbers), len(coded.dictionary), NEIGHBOURS)
+        raw = self.vote(found, cosine)
+        if self.curve:
+            raw = np.where(found[:, 0] >= 0, np.interp(raw, [x for x, _ in self.curve], [y for _, y in self.curve]), raw)
+        at = coded.indices.to_numpy()
+        return np.clip(raw, 0, 1)[at], found[at], cosine[at]
+
+
+def unit(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    norm = np.sqrt(np.bincount(owner, weight * weight, n))
+    return weight / np.maximum(norm, 1e-300)[owner]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
@@ -139,106 +196,122 @@ def _examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-examples")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most EXAMPLES labelled rows; document frequencies come from all of ``docs``.
-
-    ``docs`` has doc_id and text, ``labels`` doc_id and toxic. Terms are those that label 1 uses
-    at least LIFT times as often as label 0, by a chi-squared value that rises with the number of
-    terms tried. Folds 1 to 3 are the indexed examples, fold 4 calibrates. Without labelled rows,
-    or with one label only, every score is the prior share of label 1 (0 without rows).
-    """
-    sample = _examples(docs, labels)
+def _document_frequencies(docs: DataFrame, vocabulary: pa.Array) -> tuple[np.ndarray, int]:
+    """In how many of all ``docs`` each term of the vocabulary is, and how many there are."""
 
-    def words(batches):
-        for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                found = [w.decode() for w in set(terms(text)) if len(w) <= 64]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([int(y)] * len(found), pa.int64())], ["term", "y"])
-
-    sizes = {r["y"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    prior = (n1 + 0.5) / (n1 + n0 + 1) if n1 + n0 else 0.0
-    nothing = Model({}, np.zeros(0), [], np.zeros(0), BlockMaxIndex([], 0), prior, prior, [])
-    if not n1 or not n0:
-        return nothing
-    seen = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(words, "term string, y bigint")
-    seen = seen.groupBy("term").agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b")).where("a + b >= 3")
-    seen = materialize(seen, "toxicity-terms")
-    least = 8 + 2 * math.log(max(seen.count(), 1))
-    n = n1 + n0
-    chi = F.expr(f"{n}D * pow(a * {n0 }D - b * {n1}D, 2) / ({n1}D * {n0}D * (a + b) * ({n}D - a - b + 1e-9D))")
-    picked = seen.withColumn("chi", chi).where((F.col("chi") >= least) & F.expr(f"a * {n0}D >= {LIFT}D * b * {n1}D"))
-    picked = picked.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()
-    vocabulary = {r["term"].encode(): k for k, r in enumerate(picked)}
-    if not vocabulary:
-        return nothing
-
-    def frequency(batches):
+    def run(batches):
+        numbers = dict(zip(vocabulary.to_numpy(zero_copy_only=False).tolist(), range(len(vocabulary)), strict=True))
         df = np.zeros(len(vocabulary) + 1, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                df[-1] += 1
-                for w in vocabulary.keys() & set(terms(text)):
-                    df[vocabulary[w]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(df)), pa.int32()), pa.array(df, pa.int64())], ["term", "n"])
+            df[-1] += b.num_rows
+            for _, texts in slices(b.column(0)):
+                _, term, _, words = term_counts(texts)
+                known = np.fromiter((numbers.get(w, -1) for w in words), np.int64, len(words))
+                seen = np.bincount(term, minlength=len(words))
+                df[known[known >= 0]] += seen[known >= 0]
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(df[used], pa.int64())], ["term", "n"])
+
+    got = docs.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return df[:-1], int(df[-1])
+
+
+def relevance(with_1: np.ndarray, with_any: np.ndarray, share: float) -> np.ndarray:
+    """Weight of each term for the label: FLOOR, and more the further label 1 is over its share.
+
+    ``with_1`` of the ``with_any`` examples that have a term have label 1. The count has a continuity
+    correction of a half, so that no term of a single example rises over FLOOR.
+    """
+    z = (with_1 - 0.5 - with_any * share) / np.sqrt(np.maximum(with_any * share * (1 - share), 1e-12))
+    return FLOOR + np.maximum(z - EVIDENCE, 0)
+
 
-    df = np.zeros(len(vocabulary) + 1)
-    for r in docs.select("text").mapInArrow(frequency, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on at most EXAMPLES labelled rows; document frequencies come from all of ``docs``.
 
-    model = Model(vocabulary, idf, [], np.zeros(0), BlockMaxIndex([], 0), prior, prior, [])
+    ``docs`` has doc_id and text, ``labels`` doc_id and toxic. Folds 1 to 3 are the indexed examples,
+    fold 4 calibrates. The vocabulary is every term of the indexed examples. A term weighs
+    (1 + log count) times its inverse document frequency log((1 + documents) / (1 + documents with it))
+    times its ``relevance``, so that chance likeness in common words doesn't outvote telling ones.
+    Without labelled rows, or with one label only, every score is the prior share of label 1 (0 without rows).
+    """
+    sample = _examples(docs, labels)
 
-    def vectors(batches):
+    def bags(batches):
         for b in batches:
-            got = [model.counts(t) for t in b.column("text").to_pylist()]
-            cols = [b.column("doc_id"), b.column("toxic"), b.column("fold"), pa.array([list(x) for x in got], pa.list_(pa.int32())), pa.array([list(x.values()) for x in got], pa.list_(pa.int32()))]
+            text, term, count, words = term_counts(b.column("text"))
+            names = pa.array(words, pa.string()).take(pa.array(term))
+            cuts = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)), pa.int32())
+            cols = [*(b.column(k) for k in ("doc_id", "toxic", "fold")), pa.ListArray.from_arrays(cuts, names), pa.ListArray.from_arrays(cuts, pa.array(count, pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "fold", "term", "n"])
 
-    got = sample.select("doc_id", F.col("toxic").cast("long").alias("toxic"), F.col("fold").cast("int").alias("fold"), "text")
-    rows = got.mapInArrow(vectors, "doc_id bigint, toxic bigint, fold int, term array<int>, n array<int>").collect()
-    rows = [(r["doc_id"], int(r["toxic"] == 1), r["fold"], dict(zip(r["term"], r["n"], strict=True))) for r in rows]
+    got = sample.select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"), "text")
+    got = got.mapInArrow(bags, "doc_id bigint, toxic int, fold int, term array<string>, n array<bigint>").toArrow().combine_chunks()
+    y, in_fold = got.column("toxic").to_numpy(), got.column("fold").to_numpy()
+    prior = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
     # the calibration fold is indexed too when the other folds have one label only
-    fitted = [r for r in rows if r[2] != 4]
-    fitted = fitted if len({r[1] for r in fitted if r[3]} | {r[1] for r in fitted}) == 2 else rows
-    bare = [r[1] for r in fitted if not r[3]]
-    model.empty = (sum(bare) + prior) / (len(bare) + 1)
-    full = [(*r, unit(r[3], idf)) for r in fitted if r[3]]
-    full.sort(key=lambda r: (max(r[4], key=lambda t: (r[4][t], -t)), sorted(r[3].items()), r[0]))
-    model.ids, model.labels = [r[0] for r in full], np.array([r[1] for r in full], float)
-    model.index = BlockMaxIndex([r[4] for r in full], len(vocabulary))
-    held = [(model.vote(r[3])[0], r[1]) for r in rows if r[2] == 4 and r[3]]
-    if fitted is not rows and len(held) >= 30:
-        model.curve = isotonic(np.array([x for x, _ in held]), np.array([y for _, y in held], float))
+    apart = len(set(y[in_fold != 4])) == 2
+    chosen = np.flatnonzero(in_fold != 4) if apart else np.arange(len(y))
+    nothing = Model(pa.array([], pa.string()), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), BlockMaxIndex(*[np.zeros(0, np.int64)] * 3, 0), prior)
+    if len(set(y[chosen])) < 2:
+        return nothing
+
+    def entries(rows: np.ndarray):
+        part = got.take(pa.array(rows))
+        term, n = (part.column(k).combine_chunks() for k in ("term", "n"))
+        owner = np.repeat(np.arange(len(rows)), pc.list_value_length(term).to_numpy())
+        return owner, term.flatten(), n.flatten().to_numpy()
+
+    owner, names, count = entries(chosen)
+    coded = names.dictionary_encode()
+    vocabulary, term = coded.dictionary, coded.indices.to_numpy()
+    df, n_docs = _document_frequencies(docs, vocabulary)
+    idf = np.maximum(np.log((1 + n_docs) / (1 + df)), 1e-6)
+    label = y[chosen].astype(float)
+    weight = idf * relevance(np.bincount(term, label[owner], len(idf)), np.bincount(term, minlength=len(idf)), label.mean())
+    raw = unit(owner, (1 + np.log(count)) * weight[term], len(chosen))
+    # like examples side by side: by heaviest term, then id
+    order = np.lexsort((term, -raw, owner))
+    first = order[np.searchsorted(owner[order], np.arange(len(chosen))).clip(max=max(len(order) - 1, 0))]
+    ids = got.column("doc_id").to_numpy()[chosen]
+    rank = np.lexsort((ids, term[first], -weight[term[first]]))
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    model = Model(vocabulary, weight, ids[rank], label[rank], BlockMaxIndex(place[owner], term, raw, len(rank)), prior)
+    held = np.flatnonzero(in_fold == 4)
+    if apart and len(held) >= 30:
+        owner, names, count = entries(held)
+        at = pc.index_in(names, vocabulary).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(at.astype(float))
+        owner, term, count = owner[known], at[known].astype(np.int64), count[known]
+        found, cosine = model.index.search(owner, term, unit(owner, (1 + np.log(count)) * weight[term], len(held)), len(held), NEIGHBOURS)
+        some = found[:, 0] >= 0
+        model.curve = isotonic(model.vote(found, cosine)[some], y[held][some].astype(float))
     return model
 
 
 def score_texts(df: DataFrame, model: Model, text_col: str = "text", evidence: bool = True) -> DataFrame:
     """``(row, score, evidence)``: score from 0 to 1 of each whole text; row holds all its columns.
 
-    evidence lists the voting examples as (doc_id, label, similarity), best first. Null and empty
-    texts, and texts without any of the model's terms, get the share of label 1 among examples
-    without terms and no evidence. Repeated rows score alike; an empty table gives no rows. Labels
-    and other columns never enter a score.
+    evidence lists the voting examples as (doc_id, label, similarity), best first: every text that
+    shares a term with an example has some. Null and empty texts, and texts without any of the
+    examples' terms, get the prior share of label 1 and no evidence. Repeated rows score alike; an
+    empty table gives no rows. Labels and other columns never enter a score.
     """
     packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text_col].alias("text"))
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches):
-        known: dict[tuple, tuple] = {}
+        numbers = model.numbers()
         for b in batches:
-            scores, why = [], []
-            for text in b.column("text").to_pylist():
-                counts = model.counts(text)
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) >= 100_000:
-                        known.clear()
-                    known[key] = model.score(counts)
-                s, found = known[key]
-                scores.append(s)
-                why.append([{"doc_id": model.ids[j], "label": int(model.labels[j]), "similarity": x} for j, x in found] if evidence else [])
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(scores, pa.float64()), pa.array(why, kind)], ["row", "score", "evidence"])
+            for at, texts in slices(b.column("text")):
+                scores, found, cosine = model.score(texts, numbers)
+                some = found >= 0 if evidence else np.zeros(found.shape, bool)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(some.sum(1))]), pa.int32())
+                each = [pa.array(model.ids[found[some]], pa.int64()), pa.array(model.labels[found[some]].astype(int), pa.int32()), pa.array(cosine[some], pa.float64())]
+                why = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(each, ["doc_id", "label", "similarity"]))
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(at, len(texts)), pa.array(scores, pa.float64()), why], ["row", "score", "evidence"])
 
     schema = packed.select("row", F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<doc_id:bigint,label:int,similarity:double>>").alias("evidence")).schema
     return packed.mapInArrow(run, schema)
