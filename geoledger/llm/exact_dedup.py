@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,17 +16,22 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table of known digests, bucketed and sorted by digest, that grows by appending.
+    """A table of known digests, bucketed and sorted by digest, that grows by appending batches.
 
-    Columns: digest, keep_id, n_chars, group_size, batch. Every append writes the same number of
-    buckets, so a lookup is a sort-merge join that shuffles only the incoming digests, never the
-    index. The table lives in the session's warehouse, which the cluster shares.
+    Columns: digest, keep_id, n_chars, group_size, fresh, and the partition columns seq and batch. A
+    batch has one row for each of its digests; ``fresh`` marks the batch that brought the digest in.
+    Every append writes the same number of buckets, so a lookup is a sort-merge join that shuffles
+    only the incoming digests, never the index. The table lives in the session's warehouse, which
+    the cluster shares; one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.exists():
+            about = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe extended {self.name}").collect()}
+            self.buckets = int(about["Num Buckets"])
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -33,40 +39,56 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, winners: DataFrame) -> None:
-        writer = winners.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
+    def batches(self) -> dict[str, int]:
+        """Each batch's place in the order of appending, from the names of the table's folders."""
+        found = [r[0].split("/") for r in self.spark.sql(f"show partitions {self.name}").collect()]
+        return {b.partition("=")[2]: int(a.partition("=")[2]) for a, b in found}
+
+    def append(self, groups: DataFrame, seq: int, batch: str) -> None:
+        dealt = groups.repartition(self.buckets, "digest").select("*", F.lit(seq).cast("long").alias("seq"), F.lit(batch).alias("batch"))
+        writer = dealt.write.partitionBy("seq", "batch").bucketBy(self.buckets, "digest").sortBy("digest")
         writer.mode("append").format("parquet").saveAsTable(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+
 
-def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deduplicate a batch against the index and within itself, then append what is new.
+def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """Deduplicate a batch against the index and within itself, then append it to the index.
 
     Returns ``(doc_id, digest, n_chars, keep_id, group_size, kept)`` for every row. Within the
     batch the row with the most code points stays, then the smallest id (null ids last). A digest
-    the index already has keeps the row named there; group_size then counts the batch's rows and
-    all earlier ones in the index's first batch. Rows with equal text and equal id are one
+    the index already has keeps the row named there; group_size counts the rows of this and all earlier
+    batches. ``batch`` names the batch, in letters, digits, - and _ (by default a new name): adding a batch again, as after a
+    lost driver, appends nothing and returns what it returned the first time. Rows with equal text and equal id are one
     document: each of them is marked kept if that id is. Null text counts as empty. An empty
-    batch appends nothing and returns no rows.
+    batch returns no rows.
 
     Only digests and ids are shuffled. Copies are counted by partial aggregation; joining the
     verdict back is a sort-merge join whose large partitions Spark splits, except for digests that
     hold over 1/4096 of the batch, at most 4096 of them, which are broadcast.
     """
+    batch = batch or uuid.uuid4().hex
+    if not re.fullmatch("[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"not a batch name: {batch!r}")
     text = F.coalesce(docs[text_col], F.lit(""))
     keys = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("digest"), F.length(text).cast("long").alias("n_chars"))
     keys = materialize(keys, "digests")
     best = F.min_by("doc_id", F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id"))
     groups = keys.groupBy("digest").agg(best.alias("keep_id"), F.max("n_chars").alias("n_chars"), F.count("*").alias("group_size"))
     groups = materialize(groups, "digest-groups")
-    batch = uuid.uuid4().hex
-    fresh = groups.withColumn("batch", F.lit(batch))
-    if index.exists():
-        fresh = fresh.join(index.read().hint("merge").select("digest"), "digest", "left_anti")
-    index.append(fresh)
-    known = index.read().withColumnRenamed("group_size", "earlier").drop("n_chars")
-    sized = groups.select("digest", "group_size").join(known.hint("merge"), "digest")
-    size = F.when(F.col("batch") == batch, F.col("group_size")).otherwise(F.col("group_size") + F.col("earlier"))
-    sized = sized.select("digest", "keep_id", size.alias("group_size"), (F.col("batch") == batch).alias("new"), F.col("group_size").alias("here"))
+    if not index.exists():
+        index.append(groups.where("false").withColumn("fresh", F.lit(True)), 0, "none")
+    order = index.batches()
+    seq = order.get(batch, max(order.values(), default=0) + 1)
+    if batch not in order:
+        known = index.read().where(F.col("fresh") & (F.col("seq") < seq)).select("digest").hint("merge")
+        fresh = groups.join(known, "digest", "left_anti").withColumn("fresh", F.lit(True))
+        again = groups.join(known, "digest", "left_semi").withColumn("fresh", F.lit(False))
+        index.append(fresh.union(again), seq, batch)
+    past = index.read().where(F.col("seq") <= seq).select("digest", "keep_id", "fresh", "seq", F.col("group_size").alias("n"))
+    sized = groups.select("digest", F.col("group_size").alias("here")).join(past.hint("merge"), "digest").groupBy("digest")
+    sized = sized.agg(F.max_by("keep_id", "fresh").alias("keep_id"), F.sum("n").alias("group_size"), F.bool_or(F.col("fresh") & (F.col("seq") == seq)).alias("new"), F.max("here").alias("here"))
     sized = materialize(sized, "digest-verdicts")
     hot_over = max(keys.count() // 4096, 1)
     hot = sized.where(F.col("here") > hot_over)
@@ -80,11 +102,14 @@ def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     return parts[0].select(*cols).unionByName(parts[1].select(*cols))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see ``add_batch``."""
-    index = index or DigestIndex(docs.sparkSession)
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; see ``add_batch``. Without an index
+    they are held against each other alone."""
+    lasting = index or DigestIndex(docs.sparkSession)
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.col("doc_id").isNull().alias("_k0"), F.col("digest").alias("_d")]
-    kept = add_batch(docs, index, id_col, text_col).where("kept").select(*key).distinct()
+    kept = add_batch(docs, lasting, id_col, text_col, batch).where("kept").select(*key).distinct()
+    if index is None:
+        lasting.drop()
     packed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("_k"), docs[id_col].isNull().alias("_k0"), digest(docs[text_col]).alias("_d"),
@@ -95,7 +120,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = add_batch(docs, DigestIndex(spark))
+    index = DigestIndex(spark)
+    out = add_batch(docs, index)
+    index.drop()  # the verdicts are written; a lasting index would keep its name
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
