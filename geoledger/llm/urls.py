@@ -12,8 +12,6 @@ from geoledger.llm.common import join_small, materialize
 # Rules (host, path prefix, verdict), and words that mark an unwanted host for training.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 SEEDS = ["ads", "bets", "casino", "cheap", "farm", "free", "pills", "spam", "track", "win"]
-#: Longest word that a label is split into.
-LONGEST = 24
 #: Seed words together count for this share of all other words, SEED_LEAST times each at least.
 SEED_SHARE, SEED_LEAST = 0.5, 1000
 
@@ -49,12 +47,14 @@ def segmented(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
     is: it has ``n - own``, and at least the chance of a new word, which depends on its length
     and not on the table's size.
 
-    Every substring of up to LONGEST characters is looked up in the unigram table by a join, so
+    Every substring that is as long as some known word is looked up in the unigram table by a join, so
     neither table is broadcast or capped; then one pass of Viterbi per label picks the split.
     Unknown stretches cost per character what a word never seen would.
     """
     total = unigrams.agg(F.sum("n")).first()[0] or 1
-    starts = F.expr(f"explode(flatten(transform(sequence(1, length(label)), i -> transform(sequence(1, least({LONGEST}, length(label) - i + 1)), k -> named_struct('i', i, 'k', k)))))")
+    sizes = sorted(r[0] for r in unigrams.where("word <> ''").select(F.length("word")).distinct().collect())  # a row a length
+    each = f"filter(array({', '.join(map(str, sizes)) or '0'}), k -> k > 0 and k <= length(label) - i + 1)"
+    starts = F.expr(f"explode(flatten(transform(sequence(1, length(label)), i -> transform({each}, k -> named_struct('i', i, 'k', k)))))")
     parts = labels.where("length(label) > 0").select("label", starts.alias("s")).select("label", "s.i", "s.k", F.expr("substring(label, s.i, s.k)").alias("word"))
     known = parts.join(unigrams, "word").groupBy("label").agg(F.collect_list(F.struct("i", "k", F.when(F.col("word") == F.col("label"), F.col("n") - F.col("own")).otherwise(F.col("n")).alias("n"))).alias("parts"))
     known = labels.join(known, "label", "left")
@@ -115,7 +115,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, seeds=SEEDS)
     extra = pages.sparkSession.createDataFrame([(w, each_seed, 0) for w in seeds], "word string, n bigint, own bigint")
     unigrams = materialize(tokens.union(extra).groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "url-words")
     hosts = urls.select("host").distinct().withColumn("label", F.explode(labels))
-    split = segmented(hosts.select("label").distinct(), unigrams.where(F.length("word") <= LONGEST))
+    split = segmented(hosts.select("label").distinct(), unigrams)
     by_host = hosts.join(split, "label").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("host_words"))
     by_host = materialize(by_host.withColumn("bad", F.arrays_overlap("host_words", F.array(*[F.lit(s) for s in seeds]))), "url-hosts")
     full = urls.join(by_host, "host", "left").withColumn("words", F.concat(F.coalesce("host_words", F.expr("cast(array() as array<string>)")), _tokens(F.col("path"))))
