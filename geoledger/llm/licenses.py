@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,7 +30,18 @@ BLANK = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 
 def license_words(text: Column) -> Column:
     """Words of ASCII letters (A-Z lower-cased), digits and other characters, in order."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(lower, SEPARATORS), lambda w: w != "")
+
+
+def _plain(text: str) -> str:
+    """A template's words by the same rule, one space between."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return " ".join(w for w in re.split(SEPARATORS, lower) if w)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _strings(values) -> Column:
@@ -61,7 +73,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     Null and empty texts have no words and no matches. Repeated rows match alike; an empty table
     gives no rows.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = {k: t for k, t in ((k, _plain(t)) for k, t in (TEMPLATES if templates is None else templates).items()) if t}
     order = token_order(docs, templates, text_col)
     rank = {w: k for k, w in enumerate(order)}
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
@@ -78,8 +90,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         need = math.ceil(containment * len(tokens) - 1e-9)
         prefix = tokens[: len(tokens) - need + 1]
         prefixes |= set(prefix)
-        lits = lambda ws: "array(" + ", ".join(f"'{w}'" for w in ws) + ")"
-        entries.append(f"named_struct('label', '{label}', 'tokens', {lits(tokens)}, 'prefix', {lits(prefix)}, 'need', {need}, 'width', {len(text.split()) * 5 // 4})")
+        lits = lambda ws: "array(" + ", ".join(map(_quoted, ws)) + ")"
+        entries.append(f"named_struct('label', {_quoted(label)}, 'tokens', {lits(tokens)}, 'prefix', {lits(prefix)}, 'need', {need}, 'width', {len(text.split()) * 5 // 4})")
     base = base.withColumn("places", F.expr(f"concat({', '.join(places)})")).withColumn("n_words", F.size("words").cast("long"))
     rare = _strings(sorted(prefixes))
     lines = F.when(F.arrays_overlap("words", rare), F.split(F.col("text"), "\n"))
