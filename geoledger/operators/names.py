@@ -1,17 +1,18 @@
-"""Scores of owner-name pairs: cleaning, indel ratio and TF-IDF cosine, all in column expressions."""
+"""Scores of owner-name pairs: cleaning and TF-IDF cosine in column expressions, indel ratio in Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 #: Words removed as substrings, in this order, before names are compared.
 REMOVED_WORDS = (
-    "llc farms trust tr trustee dairy inc revocable irrevocable farm family poultry cattle ranch acres land real estate ridge john fam "
-    "partnership prop enterprises landowner lp llp"
-).split()
+    "llc", "farms", "trust", "tr", "trustee", "dairy", "inc", "revocable", "irrevocable", "farm", "family", "poultry", "cattle", "ranch", "acres", "land", "real", "estate", "ridge",
+    "john", "fam", "partnership", "prop", "enterprises", "landowner", "lp", "llp",
+)
 
 
-def clean_name(name: str, literal: str = "'[^\\\\w\\\\s]'", spaces: str = "'\\\\s+'", flag: str = "") -> str:
+def clean_name(name: str, literal: str = "'[^\\\\p{L}\\\\p{N}_\\\\s]'", spaces: str = "'\\\\s+'", flag: str = "") -> str:
     """SQL text: lower case, punctuation to blanks, listed words out, blanks squeezed. Null stays null."""
     text = f"regexp_replace(lower({name}), {literal}, ' '{flag})"
     for word in REMOVED_WORDS:
@@ -19,24 +20,34 @@ def clean_name(name: str, literal: str = "'[^\\\\w\\\\s]'", spaces: str = "'\\\\
     return f"trim(regexp_replace({text}, {spaces}, ' '{flag}))"
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one row of the table per character of ``a``."""
-    n = F.length(b)
-    chars = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
-    start = F.transform(F.sequence(F.lit(0), n), lambda _: F.lit(0))
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one machine operation a character of ``b``: bit k of
+    ``row`` is 0 where the table grows at character k of ``a``."""
+    places: dict[str, int] = {}
+    for k, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << k
+    full = row = (1 << len(a)) - 1
+    for ch in b:
+        here = row & places.get(ch, 0)
+        row = (row + here | row - here) & full
+    return len(a) - row.bit_count()
 
-    def row(prev, ch):
-        steps = F.transform(chars(b), lambda o, j: F.greatest(F.element_at(prev, j + 2), F.element_at(prev, j + 1) + F.when(o == ch, 1).otherwise(0)))
-        grown = F.concat(F.array(F.lit(0)), steps)
-        return F.transform(grown, lambda _, j: F.array_max(F.slice(grown, F.lit(1), j + 1)))
 
-    return F.aggregate(chars(a), start, row, lambda r: F.array_max(r))
+def fuzzy_score(a: str, b: str) -> int:
+    """Ten times the indel ratio in whole percent (half to even); 1000 when both are empty."""
+    total = len(a) + len(b)
+    return 10 * round(200.0 * lcs_length(a, b) / total) if total else 1000
 
 
-def fuzzy_score(a: Column, b: Column) -> Column:
-    """Ten times the indel ratio in whole percent (half to even); 1000 when both are empty."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1000).otherwise(F.bround(200.0 * lcs_length(a, b) / total).cast("int") * 10).cast("long")
+def with_scores(pairs: DataFrame) -> DataFrame:
+    """``pairs(lo, hi)`` of distinct cleaned names with ``fuzzy``, by Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            found = [fuzzy_score(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["lo", "hi", "fuzzy"])
+
+    return pairs.select("lo", "hi").mapInArrow(run, "lo string, hi string, fuzzy bigint")
 
 
 def fuzzy_pairs(pairs: DataFrame) -> DataFrame:
@@ -46,7 +57,7 @@ def fuzzy_pairs(pairs: DataFrame) -> DataFrame:
     """
     cleaned = pairs.where("name_a is not null and name_b is not null").distinct().withColumns({"ca": F.expr(clean_name("name_a")), "cb": F.expr(clean_name("name_b"))})
     cleaned = cleaned.withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
-    scored = cleaned.where("lo <> hi").select("lo", "hi").distinct().withColumn("fuzzy", fuzzy_score(F.col("lo"), F.col("hi")))
+    scored = with_scores(cleaned.where("lo <> hi").select("lo", "hi").distinct())
     out = cleaned.join(scored, ["lo", "hi"], "left")
     return out.select("name_a", "name_b", F.coalesce("fuzzy", F.lit(1000).cast("long")).alias("fuzzy"))
 
@@ -59,7 +70,7 @@ def tfidf_pairs(names: DataFrame, pairs: DataFrame) -> DataFrame:
     weights travel to them as one map per distinct name, and the dot product is a map look-up.
     """
     corpus = names.where("name is not null").distinct()
-    words = corpus.select("name", F.explode(F.expr(r"regexp_extract_all(lower(name), '\\w\\w+', 0)")).alias("word"))
+    words = corpus.select("name", F.explode(F.expr(r"regexp_extract_all(lower(name), '[\\p{L}\\p{N}_]{2,}', 0)")).alias("word"))
     tf = words.groupBy("name", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     total = corpus.agg(F.count("*").alias("docs"))

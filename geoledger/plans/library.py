@@ -264,12 +264,12 @@ def permits_by_county(spark, d):
 
 
 @query("permitted_by_type_pivot", _V, _CONFIRMED + f""", f2 as (select animal_type, exists (select 1 from permit p where {_NEAR}) as permitted from site f)
-    select coalesce(animal_type, 'Total') as animal_type, count(case when permitted then 1 end) as permitted, count(case when not permitted then 1 end) as unpermitted, count(*) as total from f2 group by rollup(animal_type)""")
+    select case when grouping(animal_type) = 1 then 'Total' else animal_type end as animal_type, count(case when permitted then 1 end) as permitted, count(case when not permitted then 1 end) as unpermitted, count(*) as total from f2 group by rollup(animal_type)""")
 def type_pivot(spark, d):
     near = site_permits(spark, d).select(F.col("site").alias("id")).distinct().withColumn("permitted", F.lit(True))
     f = sites(spark, d).join(near, "id", "left").select("animal_type", F.coalesce("permitted", F.lit(False)).alias("permitted"))
-    out = f.rollup("animal_type").agg(F.count_if("permitted").alias("permitted"), F.count_if(~F.col("permitted")).alias("unpermitted"), F.count("*").alias("total"))
-    return out.withColumn("animal_type", F.coalesce("animal_type", F.lit("Total")))
+    out = f.rollup("animal_type").agg(F.grouping("animal_type").alias("g"), F.count_if("permitted").alias("permitted"), F.count_if(~F.col("permitted")).alias("unpermitted"), F.count("*").alias("total"))
+    return out.withColumn("animal_type", F.when(F.col("g") == 1, "Total").otherwise(F.col("animal_type"))).drop("g")
 
 
 @query("small_groups_folded", ["permit"], """, g as (select program, count(*) as n from permit group by program)

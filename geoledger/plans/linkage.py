@@ -19,7 +19,7 @@ _BOX = ["id", "xmin", "ymin", "xmax", "ymax"]
 _HALF = f""", half as (select a.id as id_a, b.id as id_b, a.parcel_id as parcel_a, b.parcel_id as parcel_b, a.excluded or b.excluded as excluded, pa.owner as name_a, pb.owner as name_b,
     1000 - cast(floor(sqrt({_D2})) as bigint) as distance from building a join building b on a.id < b.id and {_D2} <= 1000000
     left join parcel pa on pa.id = a.parcel_id left join parcel pb on pb.id = b.parcel_id)"""
-_CLEAN = clean_name("{0}", r"'[^\w\s]'", r"'\s+'", ", 'g'")
+_CLEAN = clean_name("{0}", r"'[^\p{{L}}\p{{N}}_\s]'", r"'\s+'", ", 'g'")
 _FUZZY = f""", np as (select distinct name_a, name_b, {_CLEAN.format('name_a')} as ca, {_CLEAN.format('name_b')} as cb from half where name_a is not null and name_b is not null),
     cp as (select distinct ca, cb from np),
     lcs as (select ca, cb, case when ca = '' or cb = '' then 0 else list_max(list_reduce(list_transform(string_split(ca, ''), lambda ch: list_transform(string_split(cb, ''), lambda o: case when o = ch then 1 else 0 end)),
@@ -27,7 +27,7 @@ _FUZZY = f""", np as (select distinct name_a, name_b, {_CLEAN.format('name_a')}
         list_transform(range(1, len(cb) + 1), lambda z: 0))) end as n from cp),
     fz as (select name_a, name_b, case when ca = '' and cb = '' then 1000 else cast(round_even(200.0 * n / (len(ca) + len(cb)), 0) as bigint) * 10 end as fuzzy from np join lcs using (ca, cb))"""
 _TFIDF = r""", corpus as (select distinct owner as name from parcel), n as (select count(*) as docs from corpus),
-    tf as (select name, word, count(*) as tf from (select name, unnest(regexp_extract_all(lower(name), '\w\w+')) as word from corpus) group by 1, 2),
+    tf as (select name, word, count(*) as tf from (select name, unnest(regexp_extract_all(lower(name), '[\p{L}\p{N}_]{2,}')) as word from corpus) group by 1, 2),
     df as (select word, count(*) as df from tf group by word), w as (select name, word, tf * (ln((1 + docs) / (1 + df)) + 1) as w from tf join df using (word), n),
     norm as (select name, sqrt(sum(w * w)) as norm from w group by name),
     tp as (select distinct name_a, name_b from half where name_a is not null and name_b is not null),
@@ -124,10 +124,10 @@ def edges_in_range(spark, d):
     return half.select("id_a", "id_b").union(half.select("id_b", "id_a"))
 
 
-@query("no_owner_buildings", ["building", "parcel"], " select b.id from building b left join parcel p on p.id = b.parcel_id where p.owner is null or trim(p.owner) = ''")
+@query("no_owner_buildings", ["building", "parcel"], " select b.id from building b left join parcel p on p.id = b.parcel_id where not b.excluded and (p.owner is null or trim(p.owner) = '')")
 def no_owner(spark, d):
     p = view(spark, d, "parcel").select(F.col("id").alias("parcel_id"), "owner")
-    return view(spark, d, "building").join(p, "parcel_id", "left").where("owner is null or trim(owner) = ''").select("id")
+    return view(spark, d, "building").join(p, "parcel_id", "left").where("not excluded and (owner is null or trim(owner) = '')").select("id")
 
 
 @query("cluster_edges", _V, _SCORED + _KEPT + " select id_a, id_b from kept")

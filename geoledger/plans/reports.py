@@ -113,11 +113,11 @@ def issues(spark, d):
 
 
 @query("permits_by_program_and_status", ["permit"], """, g as (select program, count(*) as total, count(case when status = 'Active' then 1 end) as active, count(case when population is null then 1 end) as no_count, count(case when population >= 200 then 1 end) as large from permit group by program)
-    select coalesce(program, 'Total') as program, cast(sum(total) as bigint) as total, cast(sum(active) as bigint) as active, cast(sum(total - active) as bigint) as historical, cast(sum(no_count) as bigint) as no_count, cast(sum(large) as bigint) as large from g group by rollup(program)""")
+    select case when grouping(program) = 1 then 'Total' else program end as program, cast(sum(total) as bigint) as total, cast(sum(active) as bigint) as active, cast(sum(total - active) as bigint) as historical, cast(sum(no_count) as bigint) as no_count, cast(sum(large) as bigint) as large from g group by rollup(program)""")
 def by_program(spark, d):
     g = view(spark, d, "permit").groupBy("program").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "Active").alias("active"), F.count_if(F.col("population").isNull()).alias("no_count"), F.count_if(F.col("population") >= 200).alias("large"))
-    out = g.rollup("program").agg(F.sum("total").alias("total"), F.sum("active").alias("active"), F.sum(F.col("total") - F.col("active")).alias("historical"), F.sum("no_count").alias("no_count"), F.sum("large").alias("large"))
-    return out.withColumn("program", F.coalesce("program", F.lit("Total")))
+    out = g.rollup("program").agg(F.grouping("program").alias("g"), F.sum("total").alias("total"), F.sum("active").alias("active"), F.sum(F.col("total") - F.col("active")).alias("historical"), F.sum("no_count").alias("no_count"), F.sum("large").alias("large"))
+    return out.withColumn("program", F.when(F.col("g") == 1, "Total").otherwise(F.col("program"))).drop("g")
 
 
 @query("labeling_table", _TC, _TILES + " select coalesce(bucket, 'removed') as bucket, status, count(*) as tiles, count(case when positive then 1 end) as positive from status group by 1, 2")

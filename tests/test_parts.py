@@ -174,3 +174,32 @@ def test_stock_counts_what_was_built_before_the_spine(spark, monkeypatch):
     bounds = {r.year: (r.strict, r.loose) for r in matching.stock_bounds(spark, "").collect()}
     stood = lambda b, g, y: (b is None or b <= y) and (g is None or g >= y)
     assert bounds == {y: (sum(stood(b1, g0, y) for _, b1, g0, _ in pick.values()), sum(stood(b0, g1, y) for b0, _, _, g1 in pick.values())) for y in range(1995, 2021)}
+
+
+def test_names_beyond_ascii_and_long_ones(spark):
+    """Letters of any script are word characters; scores agree with the plain table of subsequences."""
+    import random
+
+    from geoledger.operators.names import fuzzy_score, lcs_length
+
+    got = {r.name: r.c for r in spark.createDataFrame([("Pe\u00f1a Farms",), ("M\u00fcller & S\u00f6hne, LLC",), ("\u674e\u660e 7",)], "name string").withColumn("c", F.expr(clean_name("name"))).collect()}
+    assert got == {"Pe\u00f1a Farms": "pe\u00f1a", "M\u00fcller & S\u00f6hne, LLC": "m\u00fcller s\u00f6hne", "\u674e\u660e 7": "\u674e\u660e 7"}
+    assert fuzzy_score("", "") == 1000 and fuzzy_score("", "a") == 0 and fuzzy_score("pe\u00f1a", "pena") == 750
+    chance = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(chance.choice("abc \u00f1") for _ in range(chance.randint(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(max(last[k + 1], row[k], last[k] + (x == y)))
+        assert lcs_length(a, b) == row[-1]
+
+
+def test_places_beyond_the_counties_keep_null(spark):
+    from geoledger.plans.quality import located
+
+    counties = spark.createDataFrame([(0, "A", 0, 0), (1, "B", 16020, 0)], "id bigint, name string, xmin bigint, ymin bigint")
+    points = spark.createDataFrame([(1, 5, 5), (2, 16020, 16019), (3, 5, 16020), (4, 80100 + 7, 1), (5, None, 1)], "id bigint, x bigint, y bigint")
+    assert {r.id: r.county for r in located(points, counties, "x", "y").collect()} == {1: "A", 2: "B", 3: None, 4: "A", 5: None}
