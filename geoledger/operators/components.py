@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from geoledger.operators.storage import materialize
 
@@ -49,3 +49,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             return members.union(roots)
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def member_digest(node: str) -> Column:
+    """Aggregate: 120 bits that depend on a group's members and not on their order, so that nothing is gathered.
+
+    Two sums of 60-bit pieces of the members' MD5; groups with one digest and one size are taken as equal.
+    """
+    piece = lambda at: F.sum(F.conv(F.substring(F.md5(F.col(node).cast("string")), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.md5(F.concat_ws(":", piece(1), piece(17)))

@@ -53,15 +53,17 @@ def self_pairs(boxes: DataFrame, within: int) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, start: int, apart: str = "true") -> DataFrame:
     """``(id, other, d2)``: the nearest right box of every left one, ties to the smallest id.
 
-    Rings: rows without a match within ``start`` are retried at twice the reach, so dense places never
-    meet a large cell. ``apart`` may forbid pairs (of ``l`` and ``r``). Left rows with null bounds, or
+    Rows without a match within ``start`` are retried at twice the reach. Cells stay an eighth of the reach at
+    most (``start`` at least), so a far row meets a dense place as many small keys, not as one. ``apart`` may forbid pairs (of ``l`` and ``r``). Left rows with null bounds, or
     with nothing to be near to within the data's extent, have no row.
     """
+    if right.where("xmin is not null").isEmpty():
+        return left.sparkSession.createDataFrame([], "id bigint, other bigint, d2 bigint")
     both = left.select("xmin", "ymin", "xmax", "ymax").union(right.select("xmin", "ymin", "xmax", "ymax"))
     lo_x, lo_y, hi_x, hi_y = both.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
     found, rest, reach = None, left.where("xmin is not null"), start
     while True:
-        hits = grid_join(rest, right, reach).where(apart).groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("d2", F.col("r.id").alias("other"))).alias("t"))
+        hits = grid_join(rest, right, reach, max(start, reach // 8)).where(apart).groupBy(F.col("l.id").alias("id")).agg(F.min(F.struct("d2", F.col("r.id").alias("other"))).alias("t"))
         hits = materialize(hits.select("id", "t.other", "t.d2"), "near")
         found = hits if found is None else found.union(hits)
         if lo_x is None or reach > (hi_x - lo_x) + (hi_y - lo_y):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from geoledger.operators.bridges import bridges
-from geoledger.operators.components import connected_components
+from geoledger.operators.components import connected_components, member_digest
 from geoledger.operators.names import clean_name, fuzzy_pairs, tfidf_pairs
 from geoledger.operators.spatial import self_pairs
 from geoledger.operators.storage import materialize
@@ -140,6 +140,17 @@ def owner_clusters(spark, d):
     return clusters(spark, d, cluster_edges(spark, d))
 
 
+@query("owners_of_wide_clusters", _V, _SCORED + _KEPT + _REACH + """, m as (select component, parcel_id from cluster join building on id = node), s as (select component, count(distinct parcel_id) as parcels from m group by component having count(distinct parcel_id) > 2)
+    select distinct s.component, s.parcels, p.owner from s join m using (component) join parcel p on p.id = m.parcel_id where trim(p.owner) <> ''""", True)
+def owners_of_wide_clusters(spark, d):
+    """One row for each owner of a cluster with more than two parcels."""
+    b = view(spark, d, "building").select(F.col("id").alias("node"), "parcel_id")
+    m = materialize(clusters(spark, d, cluster_edges(spark, d)).join(b, "node").where("parcel_id is not null").select("component", "parcel_id").distinct(), "parcels")
+    wide = m.groupBy("component").agg(F.count("*").alias("parcels")).where("parcels > 2")
+    own = view(spark, d, "parcel").where("trim(owner) <> ''").select(F.col("id").alias("parcel_id"), "owner")
+    return m.join(wide, "component").join(own, "parcel_id").select("component", "parcels", "owner").distinct()
+
+
 @query("parcels_per_cluster", _V, _SCORED + _KEPT + _REACH + ", s as (select component, count(distinct parcel_id) as parcels from cluster join building on id = node group by component) select parcels, count(*) as clusters from s group by parcels", True)
 def parcels_per_cluster(spark, d):
     b = view(spark, d, "building").select(F.col("id").alias("node"), "parcel_id")
@@ -188,9 +199,9 @@ def clustering_difference(spark, d):
     """Clusters (as member sets, keyed by digest) in one of two clusterings but not in the other."""
     from geoledger.plans.library import components
 
-    keys = lambda w: components(spark, d, w).groupBy("component").agg(F.md5(F.array_join(F.sort_array(F.collect_list("node")), ",")).alias("members"), F.count("*").alias("n"))
+    keys = lambda w: components(spark, d, w).groupBy("component").agg(member_digest("node").alias("members"), F.count("*").alias("n"))
     a, b = keys(200), keys(400)
-    only = lambda l, r, side: l.join(r, "members", "left_anti").select("component", "n", F.lit(side).alias("side"))
+    only = lambda l, r, side: l.join(r, ["members", "n"], "left_anti").select("component", "n", F.lit(side).alias("side"))
     return only(a, b, "only 200").union(only(b, a, "only 400"))
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from geoledger.operators.components import member_digest
 from geoledger.operators.spatial import boxes_of_points, grid_join, nearest
 from geoledger.operators.storage import materialize
 from geoledger.plans.library import _CC, _CONFIRMED, _V, _point, components, query, site_permits, sites
@@ -87,11 +88,12 @@ def nearest_facility(spark, d):
     return nearest_site(spark, d, points(spark, d, "rx", "ry")).select("permit", "site", F.sqrt("d2").alias("distance"), (F.col("c2") < 1000000).alias("accepted"))
 
 
-@query("k_nearest_permits", _V, _CONFIRMED + f", n as (select f.id as site, p.id as permit, {_REG} as d2, row_number() over (partition by f.id order by {_REG}, p.id) as k from site f join permit p on {_REG} <= 4000000) select site, permit, sqrt(d2) as distance, k from n where k <= 3")
-def k_nearest(spark, d):
+@query("k_nearest_permits", _V, _CONFIRMED + f", n as (select f.id as site, p.id as permit, {_REG} as d2, row_number() over (partition by f.id order by {_REG}, p.id) as k from site f join permit p on {_REG} <= 4000000) select site, permit, sqrt(d2) as distance, k from n where k <= 500")
+def k_nearest(spark, d, most: int = 500):
+    """Up to ``most`` nearest permits of each site within 2000 m."""
     got = grid_join(sites(spark, d).select(*_BOX), points(spark, d, "rx", "ry"), 2000).select(F.col("l.id").alias("site"), F.col("r.id").alias("permit"), "d2")
     k = F.row_number().over(W.partitionBy("site").orderBy("d2", "permit"))
-    return got.withColumn("k", k).where("k <= 3").select("site", "permit", F.sqrt("d2").alias("distance"), F.col("k").cast("long").alias("k"))
+    return got.withColumn("k", k).where(F.col("k") <= most).select("site", "permit", F.sqrt("d2").alias("distance"), F.col("k").cast("long").alias("k"))
 
 
 @query("staged_match", _V, _CONFIRMED + _NEAREST + f""", t1 as (select p.id as permit, f.id as site, 1 as tier from permit p join site f on f.id = p.id where p.status = 'Historical'),
@@ -207,14 +209,14 @@ def cluster_counties(spark, d):
 
 @query("cluster_extents", ["building"], _COMP + """ select component, count(*) as buildings, min(b.xmin) as xmin, min(b.ymin) as ymin, max(b.xmax) as xmax, max(b.ymax) as ymax,
     sum((b.xmax - b.xmin) * (b.ymax - b.ymin) * (b.xmin + b.xmax) / 2.0) / sum((b.xmax - b.xmin) * (b.ymax - b.ymin)) as cx, cast(sum((b.xmax - b.xmin) * (b.ymax - b.ymin)) as bigint) as area,
-    md5(string_agg(b.id, ',' order by b.id)) as hash from c join building b on b.id = c.node group by component""", True)
+    md5(concat_ws(':', cast(sum(cast('0x' || substr(md5(cast(b.id as varchar)), 1, 15) as bigint)) as varchar), cast(sum(cast('0x' || substr(md5(cast(b.id as varchar)), 17, 15) as bigint)) as varchar))) as hash from c join building b on b.id = c.node group by component""", True)
 def cluster_extents(spark, d):
-    """Assembled entities: extent, area, area-weighted centre and a digest of the sorted members."""
+    """Assembled entities: extent, area, area-weighted centre and an order-free digest of the members."""
     b = view(spark, d, "building").withColumn("area", F.expr("(xmax - xmin) * (ymax - ymin)")).withColumnRenamed("id", "node")
     g = components(spark, d).join(b, "node").groupBy("component")
     return g.agg(
         F.count("*").alias("buildings"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
-        F.expr("sum(area * (xmin + xmax) / 2.0D) / sum(area) as cx"), F.sum("area").alias("area"), F.md5(F.array_join(F.sort_array(F.collect_list("node")), ",")).alias("hash"),
+        F.expr("sum(area * (xmin + xmax) / 2.0D) / sum(area) as cx"), F.sum("area").alias("area"), member_digest("node").alias("hash"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import geoledger.plans.cleaning
 import geoledger.plans.estimates
+import geoledger.plans.further
 import geoledger.plans.linkage
 import geoledger.plans.matching
 import geoledger.plans.quality

@@ -70,6 +70,34 @@ def test_bridges(spark):
     assert got == {(1, 3, 4), (7, 7, 8)}
 
 
+def _is_bridge(edges, cut):
+    near = {}
+    for u, v in edges - {cut}:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    seen, todo = {cut[0]}, [cut[0]]
+    while todo:
+        for other in near.get(todo.pop(), ()):
+            if other not in seen:
+                seen.add(other)
+                todo.append(other)
+    return cut[1] not in seen
+
+
+def test_bridges_of_components_too_large_for_a_task(spark):
+    import random
+
+    pick = random.Random(5)
+    edges = {tuple(sorted(pick.sample(range(40), 2))) for _ in range(44)}  # sparse, with cycles and trees
+    edges |= {(100 + k, 101 + k) for k in range(40)} | {(100, 120)}  # a path with one cycle
+    edges |= {(200, 201 + k) for k in range(30)} | {(205, 206)}  # a hub
+    table = spark.createDataFrame(sorted(edges), "u bigint, v bigint")
+    want = {e for e in edges if _is_bridge(edges, e)}
+    got = bridges(table, 35).collect()  # two components go by rounds of joins, the hub's by a task
+    assert {(r.u, r.v) for r in got} == want and len(got) == len(want)
+    assert bridges(table.where("u < 0"), 0).count() == 0
+
+
 def test_nearest_without_anything_near(spark):
     schema = "id bigint, xmin bigint, ymin bigint, xmax bigint, ymax bigint"
     a = spark.createDataFrame([(1, 0, 0, 0, 0), (2, 90000, 0, 90000, 0), (3, None, 0, None, 0)], schema)
