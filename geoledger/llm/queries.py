@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from geoledger.llm import alignment, exact_dedup, huffman, licenses, media, minhash, mixing, negatives, packing, pii, toxicity, urls
+from geoledger.llm import alignment, exact_dedup, huffman, licenses, media, minhash, mixing, negatives, ngram_join, packing, pii, toxicity, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_media_columns": media.op8_media,
     "op9_token_ids": huffman.op9_token_ids,
     "op10_licenses": licenses.op10_licenses,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_alignment": alignment.op12_alignment,
     "op13_hard_negatives": negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
@@ -24,6 +25,7 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_alignment": alignment.op12_alignment,
     "op13_hard_negatives": negatives.OP13_SQL,
 }
