@@ -7,6 +7,7 @@ import geoledger.plans.estimates
 import geoledger.plans.further
 import geoledger.plans.linkage
 import geoledger.plans.matching
+import geoledger.plans.polygons
 import geoledger.plans.quality
 import geoledger.plans.reports  # noqa: F401  (registers its queries)
 from geoledger.plans.library import ORACLES, QUERIES

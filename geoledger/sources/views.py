@@ -71,6 +71,7 @@ VIEWS: dict[str, list[tuple[str, dict[str, str], str]]] = {
     "construction_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "built": "cast(year(o_orderdate) as int)", "destroyed": "case when o_orderstatus = 'F' then cast(year(o_orderdate) + 18 as int) end", "annotated": "o_orderkey"}, "true")],
     "type_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "animal_type": "case o_orderstatus when 'F' then 'cattle' when 'O' then 'dairy' else 'poultry' end", "annotated": "cast(year(o_orderdate) as int)"}, "o_orderpriority <> '5-LOW'")],
     "parcel": [("part", {"id": "cast(p_partkey as bigint)", "owner": _owner("p_partkey"), "number": "cast(floor(p_partkey / 3) as bigint)", "xmin": f"{_PX} + 100 - (p_partkey % 5) * 60", "ymin": f"{h2('p_partkey * 3 + 1')} - 200", "xmax": f"{_PX} + 600 - (p_partkey % 5) * 60", "ymax": f"{h2('p_partkey * 3 + 1')} + 300"}, "true")],
+    "label_point": [("orders", {"id": "cast(o_orderkey as bigint)", "x": f"{h1('o_custkey')} + {_district('o_custkey', 1500)} + o_orderkey % 160 - 40", "y": f"{h2('o_custkey')} + (o_orderkey * 7) % 120 - 30"}, "true")],
     "owner_verdict": [("part", {"name": "concat(p_name, ' ', p_type, ' Farms Inc.')", "related": "concat(p_name, ' ', p_type, ' & Sons Dairy')", "matched": "p_size % 2 = 0"}, "true")],
     "rating": [("labels", {"id": "doc_id", "a": "quality = 1", "b": "toxic = 1"}, "true")],
     "county": [
@@ -86,6 +87,55 @@ VIEWS: dict[str, list[tuple[str, dict[str, str], str]]] = {
 }
 
 
+def _grid_corner(i: str, j: str) -> tuple[str, str]:
+    """A corner of the counties' grid, moved by up to 1200 m inside the district."""
+    moved = lambda a, b, m: f"(16020 * {a} + case when {a} in (0, 5) then 0 else (({a} * {m} + {b} * 91) % 7 - 3) * 400 end)"
+    return moved(i, j, 37), moved(j, i, 53)
+
+
+#: shape view -> (view, columns to build on, rings of corners): outlines counterclockwise, then holes clockwise
+SHAPES: dict[str, tuple[str, dict[str, str], list[list[tuple[str, str]]]]] = {
+    "building_shape": (  # an L with a court
+        "building",
+        {"x": "xmin", "y": "ymin", "w": "xmax - xmin", "h": "ymax - ymin", "u": "cast(floor((xmax - xmin) / 2) as bigint)", "v": "cast(floor((ymax - ymin) / 2) as bigint)"},
+        [[("x", "y"), ("x + w", "y"), ("x + w", "y + v"), ("x + u", "y + v"), ("x + u", "y + h"), ("x", "y + h")], [("x + 2", "y + 2"), ("x + 2", "y + 6"), ("x + 6", "y + 6"), ("x + 6", "y + 2")]],
+    ),
+    "parcel_shape": (  # a slanted field with a notch
+        "parcel",
+        {"x": "xmin", "y": "ymin"},
+        [[("x", "y + 240"), ("x + 260", "y"), ("x + 500", "y + 230"), ("x + 270", "y + 500"), ("x + 210", "y + 260")]],
+    ),
+    "county_shape": (
+        "county",
+        {"i": "cast(floor(xmin / 16020) as bigint)", "j": "cast(floor(ymin / 16020) as bigint)"},
+        [[_grid_corner("i", "j"), _grid_corner("(i + 1)", "j"), _grid_corner("(i + 1)", "(j + 1)"), _grid_corner("i", "(j + 1)")]],
+    ),
+    "mask_shape": (  # a box without its corners
+        "urban_mask",
+        {"x": "xmin", "y": "ymin"},
+        [[("x + 3000", "y"), ("x + 9000", "y"), ("x + 12000", "y + 3000"), ("x + 12000", "y + 9000"), ("x + 9000", "y + 12000"), ("x + 3000", "y + 12000"), ("x", "y + 9000"), ("x", "y + 3000")]],
+    ),
+    "tile_shape": ("tile", {"x": "xmin", "y": "ymin"}, [[("x", "y"), ("x + 2002", "y"), ("x + 2002", "y + 2002"), ("x", "y + 2002")]]),
+}
+
+
+def shapes(spark: SparkSession, sf_dir: str, name: str, where: str = "true") -> DataFrame:
+    """``(id, polys)`` of a shape view, of the rows of its view that ``where`` names."""
+    base, columns, rings = SHAPES[name]
+    ring = lambda r: "array(" + ", ".join(f"named_struct('x', double({x}), 'y', double({y}))" for x, y in r) + ")"
+    built = view(spark, sf_dir, base).where(where).selectExpr("id", *[f"{e} as {c}" for c, e in columns.items()])
+    return built.selectExpr("id", f"array(array({', '.join(map(ring, rings))})) as polys")
+
+
+def edges_sql(name: str) -> str:
+    """SQL of the edges (id, ring, x1, y1, x2, y2) of a shape view; its own view is named beside it."""
+    base, columns, rings = SHAPES[name]
+    each = [f"[{k}, {r[i][0]}, {r[i][1]}, {r[(i + 1) % len(r)][0]}, {r[(i + 1) % len(r)][1]}]" for k, r in enumerate(rings) for i in range(len(r))]
+    names = ", ".join(f"cast(e[{k + 1}] as {'bigint' if k == 0 else 'double'}) as {c}" for k, c in enumerate(["ring", "x1", "y1", "x2", "y2"]))
+    built = f"select id, {', '.join(f'{e} as {c}' for c, e in columns.items())} from {base}"
+    return f"{name.replace('_shape', '_edge')} as (select id, {names} from (select id, unnest([{', '.join(each)}]) as e from ({built})))"
+
+
 def county_of(x: str, y: str) -> str:
     """The county (one of 25 boxes a district) that holds a point."""
     return f"cast(floor((({x}) % {DISTRICT}) / 16020) as bigint) + 5 * cast(floor(({y}) / 16020) as bigint)"
