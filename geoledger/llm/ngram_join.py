@@ -19,8 +19,12 @@ from geoledger.operators.components import connected_components
 SMALL = 24
 #: A list longer than this is long: its token goes to the end of the order of tokens, if it is among the HOT_TOKENS most frequent (8 MB).
 LONG, HOT_TOKENS = 128, 1 << 20
+#: Members kept beyond a set's prefix, to stand in for tokens that go to the end; a set with more of those is taken from its text anew.
+SPARE = 16
 #: Members of a part of a list; parts are compared two by two.
 PART = 256
+#: Pairs of list members looked at in one step of a task.
+STEP = 1 << 20
 #: Rounds in which a set whose list holds another component tries one member of that.
 ROUNDS = 2
 
@@ -76,27 +80,27 @@ def _one_row_an_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
 
 
 def sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``(doc_id, n, digest, prefix, small, sketch)``: size of a document's set, its digest, its smallest hashes
-    as far as ``prefix_length``, all of them if at most SMALL, and its sketch. Without words all but n are null."""
+    """``(doc_id, n, digest, head, sketch)``: size of a document's set, its digest, its smallest hashes (SPARE more than
+    ``prefix_length``, all if at most SMALL), and its sketch. Without words all but n are null."""
 
     def run(batches):
         cache = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, cols = [], ([], [], [], [])
+                n, cols = [], ([], [], [])
                 for text in batch.column(1).to_pylist():
                     found = shingles(cache.of(words(text)), shingle)
                     n.append(len(found))
-                    row = (None, None, None, None)
+                    row = (None, None, None)
                     if len(found):
-                        own = found.astype(np.int64)
-                        row = (xxhash.xxh3_128_digest(found.tobytes()), own[: prefix_length(len(own), percent)], own if len(own) <= SMALL else None, sketch(found))
+                        head = found[: max(SMALL, SPARE + prefix_length(len(found), percent))].astype(np.int64)
+                        row = (xxhash.xxh3_128_digest(found.tobytes()), head, sketch(found))
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
-                kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "prefix", "small", "sketch"])
+                kinds = [pa.binary(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n", "digest", "head", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, prefix array<bigint>, small array<bigint>, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, head array<bigint>, sketch binary")
 
 
 def choose_boundary(cost: dict[int, tuple[int, int]], percent: int) -> int:
@@ -130,7 +134,7 @@ def small_links(classes: DataFrame, boundary: int, percent: int) -> DataFrame:
                     fixed = [pa.array(np.full(len(c), x.as_py())) for x in (node, n)]
                     yield pa.RecordBatch.from_arrays([*fixed, pa.array(c), pa.array(k1), pa.array(k2)], ["node", "n", "c", "k1", "k2"])
 
-    small = classes.where((F.col("n") <= boundary) & F.col("small").isNotNull()).select("node", "n", "small")
+    small = classes.where(F.col("n") <= boundary).select("node", "n", "head")
     keyed = materialize(small.mapInArrow(run, "node bigint, n bigint, c bigint, k1 bigint, k2 bigint"), "ngram-subsets", "zstd")
     key = ["c", "k1", "k2"]
     stars = keyed.groupBy(*key).agg(F.min(F.struct("n", "node")).alias("s"), F.count("*").alias("members")).where("members > 1").drop("members")
@@ -138,23 +142,55 @@ def small_links(classes: DataFrame, boundary: int, percent: int) -> DataFrame:
     return keyed.join(stars, key).where(similar).select(F.col("node").alias("u"), F.col("s.node").alias("v")).distinct()
 
 
-def reordered(texts: DataFrame, hot: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """``(node, n, key)``: prefixes in the order in which the tokens ``hot`` (sorted) stand last."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
+def _order(found: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the order in which the tokens ``last`` (sorted) stand at the end, and how many stand before them."""
+    if not len(last):
+        return found, len(found)
+    is_last = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+    return np.concatenate([found[~is_last], found[is_last]]), int(len(found) - is_last.sum())
+
+
+def _postings(nodes: list[int], found: list[np.ndarray], last: np.ndarray, length: list[int]) -> pa.RecordBatch:
+    """Rows (node, key, new) of the prefixes of sorted sets, or as much of these as holds the prefix."""
+    keys = [_order(x, last)[0][:k] for x, k in zip(found, length, strict=True)]
+    new = [k > x[n - 1] for k, x, n in zip(keys, found, length, strict=True) if n]
+    node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+    flat = np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(flat), pa.array(np.concatenate([np.zeros(0, bool), *new]))], ["node", "key", "new"])
+
+
+def prefixes(classes: DataFrame, hot, percent: int, known: bool) -> DataFrame:
+    """``(node, key, new)``: prefixes in the order in which the tokens ``hot`` stand last, of the ``classes(node, n, head)`` whose heads
+    hold them (``known``), or else the nodes of the other classes, with a null key. ``new`` tokens are in no prefix
+    of the set in the order of hashes."""
+
+    def run(batches):
+        last = hot.value
+        for batch in batches:
+            nodes, found, length = [], [], []
+            for node, n, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own, k = head.values.to_numpy().astype(np.uint64), prefix_length(n, percent)
+                if known == (len(own) == n or _order(own, last)[1] >= k):
+                    nodes.append(node), found.append(own), length.append(k)
+            if known:
+                yield _postings(nodes, found, last, length)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.nulls(len(nodes), pa.bool_())], ["node", "key", "new"])
+
+    return classes.select("node", "n", "head").mapInArrow(run, "node bigint, key bigint, new boolean")
+
+
+def prefixes_of_texts(texts: DataFrame, hot, shingle: int, percent: int) -> DataFrame:
+    """``(node, key, new)``: the same from ``texts(node, text)``."""
 
     def run(batches):
-        cache, last = WordHashes(), shared.value
+        cache = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                for node, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    own = shingles(cache.of(words(text)), shingle)
-                    at = np.minimum(np.searchsorted(last, own), len(last) - 1)
-                    is_last = last[at] == own
-                    own = np.concatenate([own[~is_last], own[is_last]])
-                    prefix = own[: prefix_length(len(own), percent)].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prefix), node.as_py())), pa.array(np.full(len(prefix), len(own))), pa.array(prefix)], ["node", "n", "key"])
+                found = [shingles(cache.of(words(text)), shingle) for text in batch.column(1).to_pylist()]
+                yield _postings(batch.column(0).to_pylist(), found, hot.value, [prefix_length(len(x), percent) for x in found])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, n bigint, key bigint")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, key bigint, new boolean")
 
 
 def _apart(s: bytes, t: bytes) -> int:
@@ -166,38 +202,45 @@ def _apart(s: bytes, t: bytes) -> int:
     return (int.from_bytes(s, "little") ^ x).bit_count()
 
 
-def _folded(column: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """bits -> (places, matrix of 64-bit words): sketches of that size, and those of twice that size folded."""
-    size = np.array([len(x) for x in column])
-    out = {}
-    for bytes_ in np.unique(size).tolist():
-        at = np.flatnonzero((size == bytes_) | (size == 2 * bytes_))
-        rows = [np.frombuffer(column[k], np.uint64) for k in at.tolist()]
-        out[bytes_] = at, np.array([r if r.nbytes == bytes_ else r[: len(r) // 2] ^ r[len(r) // 2 :] for r in rows])
+def _folded(column: list[bytes], at: np.ndarray, size: int) -> np.ndarray:
+    """Sketches of ``size`` bytes as rows of 64-bit words; those of twice that size are folded."""
+    out = np.zeros((len(at), size // 8), np.uint64)
+    for row, k in zip(out, at.tolist(), strict=True):
+        x = np.frombuffer(column[k], np.uint64)
+        row[:] = x if x.nbytes == size else x[: len(row)] ^ x[len(row) :]
     return out
 
 
-def similar_pairs(n: np.ndarray, component: np.ndarray, sides: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (u, v) of pairs of different components whose sizes and sketches don't rule a link out.
+def similar_pairs(group: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, sketches: list[bytes], percent: int):
+    """Places (u, v) of pairs of one group and of different components whose sizes and sketches don't rule a link out.
 
-    ``sides`` is 0 or 1 for the two parts of a list that are compared, -1 where there is one part.
+    ``side`` is 0 or 1 for the two parts of a list that are compared, -1 where there is one part. Pairs are made
+    in steps of about STEP, a row's partners at once.
     """
-    us, vs = [], []
-    for bytes_, (at, matrix) in _folded(sketches).items():
-        own = np.array([len(sketches[k]) for k in at.tolist()]) == bytes_
-        order = np.argsort(n[at], kind="stable")
-        at, matrix, own = at[order], matrix[order], own[order]
-        ends = np.searchsorted(n[at], 100 * n[at] // percent, side="right")
-        for i in range(len(at)):
-            j = np.arange(i + 1, ends[i])
-            j = j[(own[i] | own[j]) & (component[at[j]] != component[at[i]]) & ((sides[at[i]] < 0) | (sides[at[j]] != sides[at[i]]))]
-            if len(j):
-                total = n[at[i]] + n[at[j]]
-                most = total - 2 * -(-percent * total // (100 + percent))
-                j = j[np.bitwise_count(matrix[j] ^ matrix[i]).sum(1) <= most]
-                us.append(np.full(len(j), at[i]))
-                vs.append(at[j])
-    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    bytes_ = np.array([len(x) for x in sketches])
+    for size in np.unique(bytes_).tolist():
+        at = np.flatnonzero((bytes_ == size) | (bytes_ == 2 * size))
+        at = at[np.lexsort((n[at], group[at]))]
+        matrix, own = _folded(sketches, at, size), bytes_[at] == size
+        wide = int(n[at].max()) + 1
+        key = group[at] * wide + n[at]
+        ends = np.searchsorted(key, group[at] * wide + np.minimum(100 * n[at] // percent, wide - 1), side="right")
+        many = np.maximum(ends - np.arange(len(at)) - 1, 0)
+        total, i = np.cumsum(many), 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + STEP, side="right")))
+            u = np.repeat(np.arange(i, j), many[i:j])
+            v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j])
+            x, y = at[u], at[v]
+            keep = (own[u] | own[v]) & (component[x] != component[y]) & ((side[x] < 0) | (side[x] != side[y]))
+            u, v, x, y = u[keep], v[keep], x[keep], y[keep]
+            both = n[x] + n[y]
+            near = np.zeros(len(u), np.int64)
+            for k in range(matrix.shape[1]):
+                near += np.bitwise_count(matrix[u, k] ^ matrix[v, k])
+            keep = near <= both - 2 * -(-percent * both // (100 + percent))
+            yield x[keep], y[keep]
+            i = j
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -229,55 +272,63 @@ def _scan(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        held: list[tuple] = []
-
-        def flush():
-            node, component, n, side = (np.array([r[k] for r in held]) for k in range(4))
-            side = side if held[0][5][1] != held[0][5][2] else np.full(len(held), -1)
-            u, v = similar_pairs(n, component, side, [r[4] for r in held], percent)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[u], node[v])), pa.array(np.minimum(node[u], node[v]))], ["u", "v"])
-
+        def flush(rows: pa.Table):
+            node, component, n, side, i, j = (rows.column(k).to_numpy() for k in ("node", "component", "n", "side", "i", "j"))
+            keys = [rows.column(k).to_numpy() for k in ("key", "i", "j")]
+            group = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            for u, v in similar_pairs(group, n, component, np.where(i == j, -1, side), rows.column("sketch").to_pylist(), percent):
+                pairs = np.unique(np.stack([np.maximum(node[u], node[v]), np.minimum(node[u], node[v])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["u", "v"])
+
+        held = None  # the last group of a batch may go on in the next one
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("node", "component", "n", "side", "sketch", "key", "i", "j")]
-            for node, component, n, side, s, *key in zip(*cols, strict=True):
-                if held and held[0][5] != key:
-                    if len(held) > 1:
-                        yield flush()
-                    held = []
-                held.append((node, component, n, side, s, key))
-        if len(held) > 1:
-            yield flush()
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not rows.num_rows:
+                continue
+            last = np.all([rows.column(k).to_numpy() == rows.column(k)[-1].as_py() for k in ("key", "i", "j")], axis=0)
+            cut = int(np.argmax(last))
+            if cut:
+                yield from flush(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield from flush(held)
 
     return m.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _lists(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int]:
-    """(``(node, n, key)``: the inverted lists with at least two members, the boundary).
+def _lists(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int]:
+    """(``(node, key)``: the inverted lists with at least two members, the boundary).
 
-    First all prefixes in the order of hashes are counted. Tokens of long lists are put at the end
-    of the order, which changes only the prefixes that have one: these are taken from the texts anew. Any
+    First all prefixes in the order of hashes are counted. Tokens of long lists are then put at the end of the order. Any
     order is right, as long as all sets follow it; this one keeps frequent passages out of prefixes.
     """
     spark = classes.sparkSession
-    plain = classes.select("node", "n", F.explode("prefix").alias("key"))
+    plain = classes.select("node", "n", F.explode(F.expr(f"slice(head, 1, cast(n - ceil({percent} * n / 100) + 1 as int))")).alias("key"))
     counts = materialize(plain.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "ngram-counts", "zstd")
     scanned = plain.where(F.col("n") <= SMALL).join(counts, "key", "left").groupBy("n").agg(F.count_distinct("node").alias("sets"), F.sum(F.coalesce("c", F.lit(1))).alias("looks"))
     boundary = choose_boundary({r.n: (r.sets, r.looks) for r in scanned.collect()}, percent)  # SMALL rows at most
     # sets that can be similar to a large one
-    least = -(-percent * (boundary + 1) // 100)
-    plain = plain.where(F.col("n") >= least)
-
-    hot = counts.where(F.col("c") > LONG).orderBy(F.desc("c"), "key").limit(HOT_TOKENS).select("key")
-    hot = materialize(hot, "ngram-hot")
-    last = np.sort(hot.toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
-    if len(last):
-        moved = materialize(plain.join(hot, "key").select("node").distinct(), "ngram-moved")
-        anew = reordered(texts.join(moved, "node", "left_semi"), last, shingle, percent)
-        plain = plain.join(moved, "node", "left_anti").select("node", "n", "key").unionByName(anew)
-        counts = None
-    plain = materialize(plain, "ngram-prefixes", "zstd")
-    counts = plain.groupBy("key").agg(F.count("*").alias("c")).where("c > 1") if counts is None else counts
-    return materialize(plain.join(counts, "key").select("node", "n", "key", "c"), "ngram-lists", "zstd"), boundary
+    large = classes.where(F.col("n") >= -(-percent * (boundary + 1) // 100))
+
+    hot = counts.where(F.col("c") > LONG).orderBy(F.desc("c"), "key").limit(HOT_TOKENS).select("key").toArrow()
+    hot = spark.sparkContext.broadcast(np.sort(hot.column("key").to_numpy().astype(np.int64).view(np.uint64)))
+    shared, found = counts.select("key"), prefixes(large, hot, percent, True)
+    rest = materialize(prefixes(large, hot, percent, False).select("node"), "ngram-rest")
+    if len(hot.value):
+        anew = prefixes_of_texts(docs.select(F.col("doc_id").alias("node"), "text").join(rest, "node", "left_semi"), hot, shingle, percent)
+        found = found.unionByName(materialize(anew, "ngram-anew", "zstd"))
+        shared = shared.union(found.where("new").select("key")).distinct()
+    found = materialize(found.select("node", "key").join(shared, "key", "left_semi"), "ngram-postings", "zstd")
+    counts = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    return materialize(found.join(counts, "key").select("node", "key"), "ngram-lists", "zstd"), boundary
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of the distinct ``pairs(u, v)`` that full sets confirm; the texts of their ends are taken from ``docs`` once."""
+    pairs = materialize(pairs, "ngram-pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(ends, "node", "left_semi")
+    return materialize(_confirm(pairs, materialize(texts, "ngram-texts", "zstd"), shingle, percent), "ngram-links")
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,15 +353,12 @@ def jaccard_classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     docs, twice = _one_row_an_id(docs, id_col, text_col)
     rows = materialize(sets(docs, shingle, percent), "ngram", "zstd")
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest")
-    classes = classes.agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "prefix", "small", "sketch")))
+    classes = classes.agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "head", "sketch")))
     classes = materialize(classes, "ngram-classes", "zstd")
-    whole = docs.select(F.col("doc_id").alias("node"), "text")
-
-    lists, boundary = _lists(classes, whole, shingle, percent)
+    lists, boundary = _lists(classes, docs, shingle, percent)
     nodes = materialize(lists.select("node").distinct(), "ngram-nodes")
     about = materialize(classes.join(nodes, "node", "left_semi").select("node", "n", "sketch"), "ngram-about", "zstd")
-    texts = materialize(whole.join(nodes, "node", "left_semi"), "ngram-texts", "zstd")
-    linked = lambda pairs: materialize(_confirm(materialize(_likely(pairs, about, percent), "ngram-likely"), texts, shingle, percent), "ngram-links")
+    linked = lambda pairs: _linked(_likely(pairs, about, percent), docs, shingle, percent)
 
     centers = lists.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("center"))
     shared = lists.join(centers, "key").where("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"))
@@ -332,8 +380,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
         between = tries.join(links, (tries["node"] == links["u"]) & (tries["rep"] == links["v"])).select(F.col("component").alias("u"), F.col("main").alias("v"))
         labels = _merge(labels, between)
     mixed = materialize(_mixed(members, labels).select("key", "node", "component"), "ngram-mixed", "zstd")
-    pairs = materialize(_scan(mixed, about, percent), "ngram-pairs")
-    links = materialize(_confirm(pairs, texts, shingle, percent), "ngram-links")
+    links = _linked(_scan(mixed, about, percent), docs, shingle, percent)
     if not links.isEmpty():
         to = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
         labels = _merge(labels, links.join(to("u"), "u").join(to("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
