@@ -4,49 +4,59 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _beta_share(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction; constant memory at any count."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_share(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d, k = 1e-300, 1.0, 1.0 / (1 - (a + b) * x / (a + 1)), 0
-    value = d
-    while True:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x.tolist()), float, len(x))
+
+
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of all rows at once, by its continued fraction; constant memory at any count."""
+    x, a, b = (np.array(v, float) for v in np.broadcast_arrays(x, a, b))
+    far = x > (a + 1) / (a + b + 2)  # there the fraction of the other side is the fast one
+    x, a, b = np.where(far, 1 - x, x), np.where(far, b, a), np.where(far, a, b)
+    out, todo = np.zeros(len(x)), np.flatnonzero((x > 0) & (x < 1))
+    out[x >= 1] = 1.0
+    front = np.zeros(len(x))
+    y, p, q = x[todo], a[todo], b[todo]
+    front[todo] = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    tiny, c, d = 1e-300, np.ones(len(todo)), 1 / (1 - (p + q) * y / (p + 1))
+    value, k = d.copy(), 0
+    while len(todo):
         k += 1
-        for term in (k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))):
-            d = 1 / (1 + term * d or tiny)
-            c = 1 + term / c or tiny
+        for term in (k * (q - k) * y / ((p + 2 * k - 1) * (p + 2 * k)), -(p + k) * (p + q + k) * y / ((p + 2 * k) * (p + 2 * k + 1))):
+            d, c = 1 + term * d, 1 + term / c
+            d, c = 1 / np.where(d == 0, tiny, d), np.where(c == 0, tiny, c)
             value *= c * d
-        if abs(c * d - 1) < 1e-14:
-            return front * value
+        done = np.abs(c * d - 1) < 1e-14
+        out[todo[done]] = front[todo[done]] * value[done]
+        todo, y, p, q, c, d, value = (v[~done] for v in (todo, y, p, q, c, d, value))
+    return np.where(far, 1 - out, out)
 
 
-def _lower(x: int, n: int, alpha: float) -> float:
-    if x <= 0:
-        return 0.0
-    lo, hi = 0.0, 1.0
+def _lower(x: np.ndarray, n: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Lower exact bounds of all rows at once: the share at which so many hits or more have a chance of alpha / 2."""
+    lo, hi = np.zeros(len(x)), np.where(x > 0, 1.0, 0.0)
+    hits = np.maximum(x, 1)
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if _beta_share(mid, x, n - x + 1) > alpha / 2 else (mid, hi)
-    return (lo + hi) / 2
+        above = beta_share(mid, hits, n - hits + 1) > alpha / 2
+        lo, hi = np.where(above, lo, mid), np.where(above, mid, hi)
+    return np.where(x > 0, (lo + hi) / 2, 0.0)
 
 
 @F.pandas_udf(DoubleType())
 def _bound(x: pd.Series, n: pd.Series, alpha: pd.Series, upper: pd.Series) -> pd.Series:
-    out = []
-    for k, m, a, up in zip(x, n, alpha, upper):
-        if pd.isna(k) or pd.isna(m) or m <= 0:
-            out.append(None)
-        else:
-            out.append(1.0 - _lower(int(m - k), int(m), a) if up else _lower(int(k), int(m), a))
-    return pd.Series(out, dtype="float64")
+    known = (x.notna() & n.notna() & (n > 0)).to_numpy(bool)
+    out, up = np.full(len(x), np.nan), upper.to_numpy(bool)[known]
+    k, m, a = (v.to_numpy(float)[known] for v in (x, n, alpha))
+    bound = _lower(np.where(up, m - k, k), m, a)
+    out[known] = np.where(up, 1 - bound, bound)
+    return pd.Series(out).where(known, None)
 
 
 def exact_lower(x: Column, n: Column, alpha: Column | float = 0.05) -> Column:

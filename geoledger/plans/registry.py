@@ -5,8 +5,10 @@ from __future__ import annotations
 import geoledger.plans.cleaning
 import geoledger.plans.estimates
 import geoledger.plans.further
+import geoledger.plans.inference
 import geoledger.plans.linkage
 import geoledger.plans.matching
+import geoledger.plans.nested
 import geoledger.plans.polygons
 import geoledger.plans.quality
 import geoledger.plans.reports  # noqa: F401  (registers its queries)
