@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import geoledger.plans.cleaning
 import geoledger.plans.estimates
+import geoledger.plans.features
 import geoledger.plans.further
 import geoledger.plans.inference
 import geoledger.plans.linkage

@@ -69,7 +69,7 @@ VIEWS: dict[str, list[tuple[str, dict[str, str], str]]] = {
     "tile_annotation": [("events", {"id": "event_id", "tile_id": "cast(floor(event_id / 6) as bigint)", "annotator": "cast(user_id % 4 as bigint)", "label": "event_type"}, "true")],
     "cafo_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "is_cafo": "o_orderkey % 40 <> 0", "annotated_on": "o_orderdate", "phase": "cast(o_orderkey % 2 as int)"}, "true")],
     "construction_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "built": "cast(year(o_orderdate) as int)", "destroyed": "case when o_orderstatus = 'F' then cast(year(o_orderdate) + 18 as int) end", "annotated": "o_orderkey"}, "true")],
-    "type_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "animal_type": "case o_orderstatus when 'F' then 'cattle' when 'O' then 'dairy' else 'poultry' end", "annotated": "cast(year(o_orderdate) as int)"}, "o_orderpriority <> '5-LOW'")],
+    "type_annotation": [("orders", {"building_id": "cast(o_custkey as bigint)", "animal_type": "case o_orderstatus when 'F' then 'cattle' when 'O' then 'dairy' else 'poultry' end", "annotated": "cast(year(o_orderdate) as int)"}, "true")],
     "parcel": [("part", {"id": "cast(p_partkey as bigint)", "owner": _owner("p_partkey"), "number": "cast(floor(p_partkey / 3) as bigint)", "xmin": f"{_PX} + 100 - (p_partkey % 5) * 60", "ymin": f"{h2('p_partkey * 3 + 1')} - 200", "xmax": f"{_PX} + 600 - (p_partkey % 5) * 60", "ymax": f"{h2('p_partkey * 3 + 1')} + 300"}, "true")],
     "label_point": [("orders", {"id": "cast(o_orderkey as bigint)", "x": f"{h1('o_custkey')} + {_district('o_custkey', 1500)} + o_orderkey % 160 - 40", "y": f"{h2('o_custkey')} + (o_orderkey * 7) % 120 - 30"}, "true")],
     "owner_verdict": [("part", {"name": "concat(p_name, ' ', p_type, ' Farms Inc.')", "related": "concat(p_name, ' ', p_type, ' & Sons Dairy')", "matched": "p_size % 2 = 0"}, "true")],
