@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geoledger.operators.storage import drop_path, materialize, scratch_path, shared_dir
 
-__all__ = ["drop_path", "materialize", "scratch_path", "shared_dir", "table", "join_small", "SPACES"]
+__all__ = ["drop_path", "materialize", "scratch_path", "shared_dir", "table", "broadcast_small", "join_small", "SPACES"]
 
 #: The six characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """A written table, to be broadcast if its rows have at most ``most`` bytes as text; else Spark joins it by sorting."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, salts: int = 64) -> DataFrame:
     """Left join to a table with unique non-null keys that is usually small.
 

@@ -10,9 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from geoledger.llm.common import materialize
+from geoledger.llm.common import broadcast_small, materialize
 from geoledger.llm.minhash import _confirm, _merge, _mixed
-from geoledger.llm.words import WordHashes, shingles, words
+from geoledger.llm.words import WordHashes, overlap, shingles, words
 from geoledger.operators.components import connected_components
 
 #: Largest set that may count as small. Its subsets are enumerated only if that is cheaper.
@@ -21,8 +21,8 @@ SMALL = 24
 LONG, HOT_TOKENS = 128, 1 << 20
 #: Members kept beyond a set's prefix, to stand in for tokens that go to the end; a set with more of those is taken from its text anew.
 SPARE = 16
-#: Members of a part of a list; parts are compared two by two.
-PART = 256
+#: Members of a part of what is compared, and bytes of their texts; parts are compared two by two.
+PART, PART_BYTES = 1024, 8 << 20
 #: Pairs of list members looked at in one step of a task.
 STEP = 1 << 20
 #: Rounds in which a set whose list holds another component tries one member of that.
@@ -257,43 +257,89 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def _scan(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``(u, v)``: all pairs of different components in the lists ``mixed(key, node, component)`` that sizes and
-    sketches don't rule out.
+def _groups(members: DataFrame, part_bytes: str | None = None) -> DataFrame:
+    """``members(main, node, ...)`` once for each group (main, i, j) that they are compared in, in sorted partitions.
 
-    A list of m members is cut into ceil(m / PART) parts by hash; a group is one part, or two, so a task holds at most
-    about 2 * PART sketches at once. Groups stand one after another in the sorted partitions of one shuffle.
+    All that met in lists with one main component is cut into parts of about PART by hash (and of about PART_BYTES, if a column of
+    bytes is named); a group is one part or two, so a task holds at most about 2 * PART rows at once.
     """
-    parts = mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    m = mixed.join(parts, "key").join(nodes.select("node", "n", "sketch"), "node")
-    m = m.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    size = F.count("*") / PART if part_bytes is None else F.greatest(F.count("*") / PART, F.sum(part_bytes) / PART_BYTES)
+    parts = members.groupBy("main").agg(F.ceil(size).cast("int").alias("parts"), F.count_distinct("component").alias("several")).where("several > 1").drop("several")
+    m = members.join(parts, "main").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     m = m.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
-    m = m.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "node", "component", "n", "sketch")
-    m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = [c for c in members.columns if c != "main"]
+    m = m.select("main", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), *rest)
+    return m.repartition("main", "i", "j").sortWithinPartitions("main", "i", "j")
+
+
+def _whole_groups(batches):
+    """Tables of whole groups and the groups' numbers in them; the last group of a batch may go on in the next one."""
+
+    def numbered(rows: pa.Table):
+        keys = [rows.column(k).to_numpy() for k in ("main", "i", "j")]
+        return rows, np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+    held = None
+    for b in batches:
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if not rows.num_rows:
+            continue
+        last = np.all([rows.column(k).to_numpy() == rows.column(k)[-1].as_py() for k in ("main", "i", "j")], axis=0)
+        cut = int(np.argmax(last))
+        if cut:
+            yield numbered(rows.slice(0, cut))
+        held = rows.slice(cut)
+    if held is not None:
+        yield numbered(held)
+
+
+def _pairs(rows: pa.Table, group: np.ndarray, percent: int):
+    component, n, side, i, j = (rows.column(k).to_numpy() for k in ("component", "n", "side", "i", "j"))
+    return similar_pairs(group, n, component, np.where(i == j, -1, side), rows.column("sketch").to_pylist(), percent)
+
+
+def _partnered(met: DataFrame, percent: int) -> DataFrame:
+    """``(main, node)``: those of ``met(main, node, component, n, sketch)`` with a likely partner in another component."""
 
     def run(batches):
-        def flush(rows: pa.Table):
-            node, component, n, side, i, j = (rows.column(k).to_numpy() for k in ("node", "component", "n", "side", "i", "j"))
-            keys = [rows.column(k).to_numpy() for k in ("key", "i", "j")]
-            group = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
-            for u, v in similar_pairs(group, n, component, np.where(i == j, -1, side), rows.column("sketch").to_pylist(), percent):
-                pairs = np.unique(np.stack([np.maximum(node[u], node[v]), np.minimum(node[u], node[v])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["u", "v"])
-
-        held = None  # the last group of a batch may go on in the next one
-        for b in batches:
-            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if not rows.num_rows:
-                continue
-            last = np.all([rows.column(k).to_numpy() == rows.column(k)[-1].as_py() for k in ("key", "i", "j")], axis=0)
-            cut = int(np.argmax(last))
-            if cut:
-                yield from flush(rows.slice(0, cut))
-            held = rows.slice(cut)
-        if held is not None:
-            yield from flush(held)
+        for rows, group in _whole_groups(batches):
+            wanted = np.zeros(rows.num_rows, bool)
+            for u, v in _pairs(rows, group, percent):
+                wanted[u] = wanted[v] = True
+            yield from rows.select(["main", "node"]).filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return _groups(met).mapInArrow(run, "main bigint, node bigint").distinct()
+
 
-    return m.mapInArrow(run, "u bigint, v bigint").distinct()
+def _between(wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links of components ``(u, v)`` among ``wanted(main, node, component, n, sketch, text)``: full sets are
+    compared, and of two components one link a group is enough."""
+
+    def run(batches):
+        cache = WordHashes()
+        for rows, group in _whole_groups(batches):
+            component, text, found, sets_ = rows.column("component").to_numpy(), rows.column("text"), set(), {}
+
+            def full(k: int) -> np.ndarray:
+                if k not in sets_:  # noqa: B023
+                    with np.errstate(over="ignore"):
+                        sets_[k] = shingles(cache.of(words(text[k].as_py())), shingle)  # noqa: B023
+                return sets_[k]  # noqa: B023
+
+            at = -1
+            for us, vs in _pairs(rows, group, percent):
+                for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+                    if group[u] != at:  # pairs come group by group: the sets of one are enough
+                        at, sets_ = group[u], {}
+                    pair = (max(component[u], component[v]), min(component[u], component[v]))
+                    if pair not in found:
+                        a, b = full(u), full(v)
+                        both = overlap(a, b)
+                        if 100 * both >= percent * (len(a) + len(b) - both):
+                            found.add(pair)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
+
+    return _groups(wanted, "bytes").drop("bytes").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _lists(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, int]:
@@ -315,7 +361,7 @@ def _lists(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> t
     shared, found = counts.select("key"), prefixes(large, hot, percent, True)
     rest = materialize(prefixes(large, hot, percent, False).select("node"), "ngram-rest")
     if len(hot.value):
-        anew = prefixes_of_texts(docs.select(F.col("doc_id").alias("node"), "text").join(rest, "node", "left_semi"), hot, shingle, percent)
+        anew = prefixes_of_texts(docs.select(F.col("doc_id").alias("node"), "text").join(broadcast_small(rest), "node", "left_semi"), hot, shingle, percent)
         found = found.unionByName(materialize(anew, "ngram-anew", "zstd"))
         shared = shared.union(found.where("new").select("key")).distinct()
     found = materialize(found.select("node", "key").join(shared, "key", "left_semi"), "ngram-postings", "zstd")
@@ -327,7 +373,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     """Those of the distinct ``pairs(u, v)`` that full sets confirm; the texts of their ends are taken from ``docs`` once."""
     pairs = materialize(pairs, "ngram-pairs")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(ends, "node", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(broadcast_small(materialize(ends, "ngram-ends")), "node", "left_semi")
     return materialize(_confirm(pairs, materialize(texts, "ngram-texts", "zstd"), shingle, percent), "ngram-links")
 
 
@@ -347,8 +393,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
     3. Large sets, and small ones that can be similar to them, are in inverted lists of their prefixes: sets that
        are similar have a common token in the first ones of any order. Every set tries the centre of the lists that it shares most
        of, then one member of each other component, so that a large group of copies costs a few pairs a set.
-    4. Lists that still hold several components are scanned whole, in parts; sizes and parity sketches rule
-       out pairs that can't be links, and full sets confirm the rest.
+    4. All that meet in lists that still hold several components are compared, in parts; sizes and parity sketches
+       rule out pairs that can't be links, which leaves few sets, and full sets confirm the rest.
     """
     docs, twice = _one_row_an_id(docs, id_col, text_col)
     rows = materialize(sets(docs, shingle, percent), "ngram", "zstd")
@@ -379,11 +425,15 @@ def jaccard_classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_col
             break
         between = tries.join(links, (tries["node"] == links["u"]) & (tries["rep"] == links["v"])).select(F.col("component").alias("u"), F.col("main").alias("v"))
         labels = _merge(labels, between)
-    mixed = materialize(_mixed(members, labels).select("key", "node", "component"), "ngram-mixed", "zstd")
-    links = _linked(_scan(mixed, about, percent), docs, shingle, percent)
+    met = _mixed(members, labels).select("main", "node", "component").distinct()
+    met = materialize(met.join(about, "node"), "ngram-met", "zstd")
+    wanted = materialize(_partnered(met, percent), "ngram-partnered")
+    nodes = broadcast_small(materialize(wanted.select("node").distinct(), "ngram-ends"))
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").withColumn("bytes", F.octet_length("text").cast("long"))
+    wanted = wanted.join(met, ["main", "node"]).join(materialize(texts, "ngram-texts", "zstd"), "node")
+    links = materialize(_between(wanted, shingle, percent), "ngram-links")
     if not links.isEmpty():
-        to = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-        labels = _merge(labels, links.join(to("u"), "u").join(to("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        labels = _merge(labels, links)
 
     by_class = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     by_class = materialize(by_class, "ngram-classes")
