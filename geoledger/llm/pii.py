@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoledger.llm.common import BROADCAST_ROWS, materialize
+from geoledger.llm.common import broadcast_small, materialize
 
 # Patterns in the order of kinds. Possessive forms and the look-behinds find the same leftmost
 # matches as the plain patterns in linear time; \G lets a match begin where the last one ended.
@@ -77,12 +77,6 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: w != "")
 
 
-def _candidates(text: Column) -> Column:
-    """Those words that can be names: of four letters or more, or not written in lower case throughout."""
-    kept = F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: (F.length(w) >= 4) | w.rlike(r"[^\p{Ll}]"))
-    return F.filter(F.array_distinct(F.transform(kept, F.lower)), lambda w: w != "")
-
-
 def disclosing_terms(found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``(term, kind, share)`` of terms that reveal a protected value.
 
@@ -94,27 +88,33 @@ def disclosing_terms(found: DataFrame, support: int = SUPPORT, disclosure: float
     information, at least ``support`` different texts have both, so chance words of single
     documents and of their exact copies don't count, and so many are no chance: by Chernoff's bound
     n * KL(share with v || p(v)) over the different texts must exceed the logarithm of the tested
-    pairs over CHANCE. A word of up to three letters has to stand
-    with the value in capitals or a script without case; its frequency counts either case.
+    pairs over CHANCE. Words of any length are tested, in either case.
+
+    Entities that fewer than ``support`` different texts have, most of them, are dropped by a small count before any pair
+    is made. Texts are known by their digests: n copies of a text count n documents and one text (1 / n for each), so that no text is a key.
     """
     named = [F.expr(f"transform({kind}, s -> named_struct('kind', '{kind}', 'value', {e}))") for kind, es in ENTITIES.items() for e in es]
     values = F.array_distinct(F.flatten(F.array(*named)))
-    holders = found.select("text", values.alias("values")).where(F.size("values") > 0)
-    # equal texts first become one row with their number: a pair then counts its texts without naming them, in one exchange of partial sums
-    each = holders.groupBy("text", "values").agg(F.count("*").alias("n")).select("n", "text", F.explode("values").alias("v"))
-    pairs = each.select("v", "n", F.explode(_candidates(F.col("text"))).alias("term"))
-    counted = pairs.groupBy("v", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    texts = found.select(F.md5("text").alias("digest"), "text", values.alias("values")).where(F.size("values") > 0)
+    holders = materialize(texts.groupBy("digest").agg(F.count("*").alias("copies"), F.first("values").alias("values")), "pii-holders")
+    each = holders.select("digest", "copies", F.explode("values").alias("v"))
+    with_value = each.groupBy("v").agg(F.sum("copies").alias("nv"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("v", "nv")
+    with_value = materialize(with_value, "pii-entities")
+    mine = each.join(broadcast_small(with_value), "v").groupBy("digest").agg(F.first("copies").alias("copies"), F.collect_list("v").alias("vs"))
+    mine = broadcast_small(materialize(mine, "pii-mine"))
+    words = texts.select("digest", "text").join(mine, "digest").select("copies", F.explode("vs").alias("v"), "text")
+    pairs = words.select("v", (1 / F.col("copies")).alias("part"), F.explode(_terms(F.col("text"))).alias("term"))
+    counted = pairs.groupBy("v", "term").agg(F.count("*").alias("both"), F.round(F.sum("part")).cast("long").alias("texts"))
     counted = materialize(counted.where(F.col("texts") >= support), "pii-pairs")
-    with_value = holders.select(F.explode("values").alias("v")).groupBy("v").agg(F.count("*").alias("nv"))
     n, tested = found.count(), counted.count()
     if not tested:
         return counted.select("term", F.col("v.kind").alias("kind"), F.lit(0.0).alias("share"))
     # share >= disclosure means both / nt >= (nv / n) ** (1 - disclosure), and nv >= both: no pair above this bound on nt can disclose
     most = lambda both: F.pow(both, F.lit(disclosure)) * (n ** (1 - disclosure) * (1 + 1e-9))
-    everywhere = found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    rare = counted.groupBy("term").agg(F.max("both").alias("most")).join(everywhere, "term").where(F.col("nt") <= most(F.col("most"))).select("term", "nt")
-    rare = materialize(rare, "pii-terms")
-    rare = F.broadcast(rare) if rare.count() <= BROADCAST_ROWS else rare
+    tried = broadcast_small(materialize(counted.groupBy("term").agg(F.max("both").alias("most")), "pii-tried"))
+    everywhere = found.select(F.explode(_terms(F.col("text"))).alias("term")).join(tried, "term")
+    rare = everywhere.groupBy("term").agg(F.count("*").alias("nt"), F.first("most").alias("most")).where(F.col("nt") <= most(F.col("most"))).select("term", "nt")
+    rare = broadcast_small(materialize(rare, "pii-terms"))
     info = -F.log2(F.col("nv") / n)
     share = F.when(info > 0, (info + F.log2(F.col("both") / F.col("nt"))) / info).otherwise(0.0)
     q, p = F.least(F.col("both") / F.col("nt"), F.lit(1 - 1e-9)), F.least(F.col("nv") / n, F.lit(1 - 1e-9))
@@ -138,12 +138,11 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.expr(f"cast(array() as {_SPAN})")
     if not few:
         return base.withColumn("term", none)
-    names = terms.select("term")
-    names = F.broadcast(names) if few <= BROADCAST_ROWS else names
+    names = broadcast_small(terms.select("term"))
     hits = base.select(F.md5("text").alias("digest"), F.explode(_terms(F.col("text"))).alias("term")).join(names, "term", "left_semi")
-    hits = materialize(hits.distinct().groupBy("digest").agg(F.array_sort(F.collect_set("term")).alias("terms")), "pii-hits")
-    # written first: a small table is broadcast, and the join with a large one can be split where many rows have one text
-    out = base.withColumn("digest", F.md5("text")).drop("text").join(hits, "digest", "left").withColumn("text", F.coalesce(F.col("row")[text_col], F.lit("")))
+    hits = materialize(hits.groupBy("digest").agg(F.array_sort(F.collect_set("term")).alias("terms")), "pii-hits")
+    # the join with a large table can be split where many rows have one text
+    out = base.withColumn("digest", F.md5("text")).drop("text").join(broadcast_small(hits), "digest", "left").withColumn("text", F.coalesce(F.col("row")[text_col], F.lit("")))
     out = out.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})")))
     out = out.withColumn("_term", F.when(F.col("terms").isNotNull(), _matches("text", "pattern")))
     inside = " and ".join(f"not exists({k}, b -> b.start < s.end and s.start < b.end)" for k in PATTERNS)

@@ -76,9 +76,8 @@ def brute_terms(spans, texts):
                     "card": lambda d=digits: {d, d[:6] + "*"}, "phone": lambda d=digits: {"+" + d},
                 }[kind]()
         nv.update(entities)
-        names = {w.lower() for w in re.findall(r"[^\W\d_]+", t) if len(w) >= 4 or not w.islower()}
         for e in entities:
-            for w in names:
+            for w in words:
                 both[e, w] += 1
                 different[e, w].add(t)
     pairs = [k for k in both if len(different[k]) >= 3]
