@@ -37,3 +37,20 @@ def project(lon: str, lat: str) -> tuple[str, str]:
     rho = f"({_d(_A / _N)} * sqrt({_d(_C)} - {_d(_N)} * {q}))"
     theta = f"({_d(_N)} * radians({lon} - {_d(_ORIGIN_LON)}))"
     return f"({rho} * sin({theta}))", f"({_d(_RHO0 + _NORTHING)} - {rho} * cos({theta}))"
+
+
+def unproject(x: str, y: str) -> tuple[str, str]:
+    """SQL texts of longitude and latitude for metres; null in, null out.
+
+    The latitude of equal area goes back by its series, and one step of Newton's method on the exact relation makes the
+    error smaller than a double can tell.
+    """
+    dy = f"({_d(_RHO0 + _NORTHING)} - {y})"
+    q = f"(({_d(_C)} - ({x} * {x} + {dy} * {dy}) * {_d((_N / _A) ** 2)}) / {_d(_N)})"
+    beta = f"asin(greatest({_d(-1.0)}, least({_d(1.0)}, {q} / {_d(_q(1.0))})))"
+    series = ((2, _E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040), (4, 23 * _E2**2 / 360 + 251 * _E2**3 / 3780), (6, 761 * _E2**3 / 45360))
+    phi = f"({beta} + " + " + ".join(f"{_d(c)} * sin({k} * {beta})" for k, c in series) + ")"
+    s = f"sin({phi})"
+    w = f"(1 - {_d(_E2)} * {s} * {s})"
+    step = f"({w} * {w} / (2 * cos({phi})) * ({q} / {_d(1 - _E2)} - {s} / {w} + ln((1 - {_d(_E)} * {s}) / (1 + {_d(_E)} * {s})) / {_d(2 * _E)}))"
+    return f"({_d(_ORIGIN_LON)} + degrees(atan2({x}, {dy})) / {_d(_N)})", f"degrees({phi} + {step})"

@@ -12,7 +12,8 @@ import geoledger.plans.matching
 import geoledger.plans.nested
 import geoledger.plans.polygons
 import geoledger.plans.quality
-import geoledger.plans.reports  # noqa: F401  (registers its queries)
+import geoledger.plans.reports
+import geoledger.plans.tiers  # noqa: F401  (registers its queries)
 from geoledger.plans.library import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
