@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from geoledger.operators.components import connected_components
 from geoledger.operators.spatial import boxes_of_points, grid_join, self_pairs
+from geoledger.operators.storage import materialize
 from geoledger.sources.views import county_of, view, with_views
 
 QUERIES: dict = {}
@@ -293,9 +294,9 @@ def latest(spark, d):
     union all select 'large permits without facility', count(*) from permit p where population > 200 and not exists (select 1 from site f where {_NEAR})
     union all select 'kept tiles without annotation', count(*) from tile t where bucket is not null and not exists (select 1 from tile_annotation a where a.tile_id = t.id)""")
 def checks(spark, d):
-    lost = permits_without(spark, d)
+    lost = materialize(permits_without(spark, d), "lost")
     one = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("name"), "value")
-    s = sites(spark, d)
+    s = materialize(sites(spark, d), "sites")
     parts = [
         one("confirmed facilities", s), one("facilities without parcel", s.where("parcel_id is null")), one("permits without facility", lost),
         one("large permits without facility", lost.where("population > 200")),

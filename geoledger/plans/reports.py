@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from geoledger.operators.spatial import grid_join
+from geoledger.operators.storage import materialize
 from geoledger.plans.estimates import _TILES, _TC, tile_status
 from geoledger.plans.library import _ADJ, _CONFIRMED, _COUNTY, _EX_ANTE, _NEAR, _V, adjacent, initially_labeled, permits_without, query, site_permits, sites
 from geoledger.sources.views import county_of, view
@@ -158,7 +159,7 @@ _RANGES = [("confirmed facilities", "value > 0"), ("active without label", "valu
     select name, value, case {' '.join(f"when name = '{n}' then {c}" for n, c in _RANGES)} end as passed from v""")
 def check_report(spark, d):
     """Each check's count of offending rows and whether it lies in its accepted range."""
-    s = sites(spark, d)
+    s = materialize(sites(spark, d), "sites")
     key = lambda v, c: view(spark, d, v).select(F.col(c).alias("id"))
     found = [
         s, view(spark, d, "building").where("not excluded and id >= 0").join(key("cafo_annotation", "building_id"), "id", "left_anti"), s.join(key("construction_annotation", "building_id"), "id", "left_anti"),
