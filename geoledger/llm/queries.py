@@ -25,7 +25,5 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
-    "op11_ngram_join": ngram_join.op11_ngram_join,
-    "op12_alignment": alignment.op12_alignment,
     "op13_hard_negatives": negatives.OP13_SQL,
 }
