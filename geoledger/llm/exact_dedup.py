@@ -22,13 +22,16 @@ class DigestIndex:
     batch has one row for each of its digests; ``fresh`` marks the batch that brought the digest in.
     Every append writes the same number of buckets, so a lookup is a sort-merge join that shuffles
     only the incoming digests, never the index. The table lives in the session's warehouse, which
-    the cluster shares; one writer at a time.
+    the cluster shares; one writer at a time. A session whose catalog doesn't know the name registers the table by its
+    folder, with the number of buckets that a hidden file there names; so an index outlives its session.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if name and not self.exists():
+            self._register()
         if self.exists():
             about = {r["col_name"]: r["data_type"] for r in spark.sql(f"describe extended {self.name}").collect()}
             self.buckets = int(about["Num Buckets"])
@@ -36,6 +39,24 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
+    def _folder(self, name: str = ""):
+        """The table's folder or a file in it, and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{self.name.lower()}{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _register(self) -> None:
+        """Name in this session's catalog a table that an earlier session made."""
+        path, fs = self._folder()
+        found = [m for f in (fs.listStatus(path) if fs.exists(path) else []) if (m := re.fullmatch(r"_buckets_(\d+)", f.getPath().getName()))]
+        if not found:
+            return
+        columns = ", ".join(f"{c} {t}" for c, t in self.spark.read.parquet(path.toString()).drop("seq", "batch").dtypes)
+        self.spark.sql(
+            f"create table {self.name} ({columns}, seq bigint, batch string) using parquet partitioned by (seq, batch) "
+            f"clustered by (digest) sorted by (digest) into {found[0][1]} buckets location '{path.toString()}'"
+        )
+        self.spark.sql(f"msck repair table {self.name}")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -48,9 +69,14 @@ class DigestIndex:
         dealt = groups.repartition(self.buckets, "digest").select("*", F.lit(seq).cast("long").alias("seq"), F.lit(batch).alias("batch"))
         writer = dealt.write.partitionBy("seq", "batch").bucketBy(self.buckets, "digest").sortBy("digest")
         writer.mode("append").format("parquet").saveAsTable(self.name)
+        mark, fs = self._folder(f"/_buckets_{self.buckets}")
+        if not fs.exists(mark):
+            fs.create(mark).close()
 
     def drop(self) -> None:
         self.spark.sql(f"drop table if exists {self.name}")
+        path, fs = self._folder()
+        fs.delete(path, True)  # a table registered by its folder leaves its files
 
 
 def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
