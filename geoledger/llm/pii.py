@@ -162,6 +162,7 @@ def sanitize(found: DataFrame) -> DataFrame:
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    listed = lambda kinds: F.array_join(F.concat(*[F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]), ",")
+    # as SQL: a Python lambda of two parameters would get the element's place as the second, not the kind
+    listed = lambda kinds: F.array_join(F.concat(*[F.expr(f"transform({k}, s -> concat_ws(':', '{k}', s.start, s.end))") for k in kinds]), ",")
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(listed(PATTERNS), 256).alias("base_sha256"), listed([*PATTERNS, "term"]).alias("spans"))

@@ -210,6 +210,30 @@ def test_base_spans(spark, texts):
         assert {k: [(s.start, s.end) for s in r[k]] for k in want} == want, given[r.row.doc_id]
 
 
+def test_op5_names_kinds(spark, tmp_path):
+    """The query's counts, digest and span list on odd rows, by the contract's plain patterns."""
+    rows = [
+        (1, "a@b.c x@y.z 1.2.3.4, 4111 1111 1111 1111, +49 30 1234567"), (2, "9.9.9.9 a@b.c\U0001f600 a@b.c +1-555-0100 +1 (555) 123-4567"), (3, None), (4, ""),
+        (5, "4111111111111111\n4111-1111-1111-1111"), (6, "nothing"), (None, "é a@b.c"), (6, "10.0.0.1 10.0.0.256"),
+    ]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in rows:
+        spans = brute_spans(t)
+        text = ",".join(f"{k}:{a}:{b}" for k, found in spans.items() for a, b in found)
+        want.append((i, *map(len, spans.values()), hashlib.sha256(text.encode()).hexdigest(), text))
+    assert sorted(map(str, map(tuple, pii.op5_pii(spark, str(tmp_path)).collect()))) == sorted(map(str, want))
+
+
+def test_op5_names_terms(spark, tmp_path):
+    """Spans that the method adds are named term, beside the base ones."""
+    rows = [(k, f"{'Zaphod' if k < 5 else 'nobody'} said number {'q' * (k % 7 + 4)} {'to zz@qq.org' if k < 5 else ''} word{'abcdefgh'[k % 8] * 3}") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == 400 and got[1].spans == "email:28:37,term:0:6,term:25:27" and got[200].spans == ""
+    assert got[1].base_sha256 == hashlib.sha256(b"email:28:37").hexdigest()
+
+
 def test_disclosing_terms(spark):
     rows = [(k, f"{'Zaphod' if k < 5 else 'nobody'} said number {'q' * (k % 7 + 4)} {'to zz@qq.org' if k < 5 else ''} word{'abcdefgh'[k % 8] * 3}") for k in range(400)]
     found = {r.row.doc_id: r for r in pii.find_pii(frame(spark, rows)).collect()}
