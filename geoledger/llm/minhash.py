@@ -274,7 +274,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     links = _linked(best.select(F.col("node").alias("u"), F.col("center").alias("v")), sizes, texts, shingle, percent)
     found = materialize(connected_components(links), "minhash-components")
     labels = materialize(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "minhash-labels")
-    members = shared.where("members > 2").select("key", "node")
+    members = shared.select("key", "node")
     for _ in range(ROUNDS):
         tries = _mixed(members, labels).where("component <> main").groupBy("node", "component", "main", "rep").agg(F.count("*").alias("c"))
         tries = tries.groupBy("node", "component", "main").agg(F.max_by("rep", F.struct("c", "rep")).alias("rep"))

@@ -61,3 +61,13 @@ def test_blocks_find_what_the_rounds_left(spark, monkeypatch):
     rows = [(k, " ".join(words[k * 5 : k * 5 + 60])) for k in range(120)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).collect()}
     assert got == brute_groups(rows, 2)
+
+
+def test_buckets_of_two_lose_no_link(spark):
+    """Many chains of three texts: the middle one is linked to both ends, though it tries one centre only."""
+    rows = []
+    for c in range(400):
+        w = [f"c{c}w{k}" for k in range(60)]
+        rows += [(3 * c, " ".join(w[:51])), (3 * c + 1, " ".join(w[5:56])), (3 * c + 2, " ".join(w[10:]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).collect()}
+    assert got == brute_groups(rows, 2)
