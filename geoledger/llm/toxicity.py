@@ -319,7 +319,9 @@ def score_texts(df: DataFrame, model: Model, text_col: str = "text", evidence: b
 
 def labelled_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     named = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return fit(named, labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].alias("toxic")))
+    model = fit(named, labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].alias("toxic")))
+    pa.default_memory_pool().release_unused()  # else the pool keeps the examples' freed buffers for as long as the driver lives
+    return model
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

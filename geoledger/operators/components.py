@@ -7,17 +7,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from geoledger.operators.storage import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-low")
+#: Up to so many edges a round is done in one partition, with fewer exchanges, for each of which Spark's driver starts a thread.
+FEW = 50_000
+
+
+def _same(df: DataFrame) -> DataFrame:
+    return df
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.coalesce(1).hint("merge")
+
+
+def _large_star(edges: DataFrame, dealt=_same) -> DataFrame:
+    both = dealt(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    low = dealt(materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-low"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, dealt=_same) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+    low = dealt(materialize(down.groupBy("u").agg(F.min("v").alias("m")), "cc-low"))
     hung = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(low.select("u", F.col("m").alias("v")))
+    return dealt(hung.union(low.select("u", F.col("m").alias("v"))))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     orderable type. Null ends and loops are ignored; an empty input gives an empty result.
     Each round is two minimum aggregates, each written and then joined back on its key, so that
     Spark can split a hub's edges over tasks; they are never gathered in a list. Rounds are cut with files in the shared folder; the driver
-    sees only a count and a checksum per round. The rounds stop when the edge set is a star
+    sees only a count and a checksum per round. At most FEW edges are kept in one partition. The rounds stop when the edge set is a star
     forest that no longer changes; if ``max_rounds`` passes first, a RuntimeError is raised
     rather than a wrong labelling returned.
     """
@@ -41,7 +53,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     if not before[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e).distinct()).distinct(), "cc")
+        dealt = _one if before[0] <= FEW else _same
+        e = dealt(materialize(_small_star(_large_star(e, dealt).distinct(), dealt).distinct(), "cc"))
         after = _state(e)
         if after == before:
             members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
