@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from geoledger.llm.tokens import public_path, slices, text_encoder
 
 #: Context sizes, longest first.
 TIERS = (1024, 512, 256, 128, 64)
-#: Ids that are planned together in a task, and ids to a step group.
-POOL, STEP = 4_000_000, 65_536
+#: Ids that are planned together in a task, or documents if those come first, and ids to a step group.
+POOL, DOCS, STEP = 4_000_000, 65_536, 65_536
+#: Bytes of texts that are encoded at once, and of pieces that an encoder remembers: a worker keeps both beside its pool.
+SLICE, PIECES = 1 << 20, 100 << 20
 
 #: (document, start in it, length)
 Piece = tuple[int, int, int]
@@ -101,6 +104,48 @@ def padded(used: int, tiers: tuple[int, ...] = TIERS) -> int:
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded bigint, step_group bigint"
 
 
+def pack_batches(batches, encoder, end_id: int, base: int, with_ids: bool):
+    """Batches of pieces for one task's batches of (id, text); sequences and step groups are numbered from ``base``."""
+    names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["ids"] * with_ids
+    made = groups = 0
+
+    def plan(ids: list[np.ndarray], keys: list):
+        nonlocal made, groups
+        sequences = pack([len(x) for x in ids])
+        sizes = [sum(p[2] for p in s) for s in sequences]
+        group = step_groups(sizes)
+
+        def pieces():
+            for k, s in enumerate(sequences):
+                at = 0
+                for d, a, n in s:
+                    raw = ids[d][a : a + n].tobytes()
+                    row = (keys[d], a, n, zlib.crc32(raw), len(ids[d]), base + made + k, at, padded(sizes[k]), base + groups + group[k])
+                    yield (*row, raw) if with_ids else row
+                    at += n
+
+        rows = pieces()
+        while some := list(islice(rows, 10_000)):
+            cols = [pa.array(c, pa.binary() if k == 9 else pa.int64()) for k, c in enumerate(zip(*some, strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+        made += len(sequences)
+        groups += max(group, default=-1) + 1
+
+    ids, keys, total = [], [], 0
+    for batch in batches:
+        some = batch.column(0).to_pylist()
+        for i, texts in slices(batch.column(1), SLICE):
+            for key, found in zip(some[i : i + len(texts)], encoder.encode(texts), strict=True):
+                ids.append(np.append(found, end_id).astype("<u4"))
+                keys.append(key)
+                total += len(ids[-1])
+            if total >= POOL or len(ids) >= DOCS:
+                yield from plan(ids, keys)
+                ids, keys, total = [], [], 0
+    if ids:
+        yield from plan(ids, keys)
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str = "byte_bpe_50k.json",
@@ -118,50 +163,15 @@ def pack_documents(
     so it is the end id alone. Rows with a null or repeated id are documents of their own. An
     empty table gives no rows.
 
-    Nothing is shuffled: every task tokenizes its rows and plans pools of about POOL ids, so
-    memory is bounded by a pool and one document, and one short sequence in a pool is the only
-    padding. Sequence ids are unique through the task's partition number.
+    Nothing is shuffled: every task tokenizes its rows and plans pools of about POOL ids, or DOCS
+    documents if these are short, so memory is bounded by a pool, a SLICE or one document, and the
+    remembered PIECES; one short sequence in a pool is the only padding. Sequence ids are unique through the task's partition number.
     """
     schema = _SCHEMA + (", ids binary" if with_ids else "")
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        encoder = text_encoder(public_path(tokenizer), kind)
-        base = TaskContext.get().partitionId() << 36
-        made = groups = 0
-
-        def plan(ids: list[np.ndarray], keys: list):
-            nonlocal made, groups
-            sequences = pack([len(x) for x in ids])
-            sizes = [sum(p[2] for p in s) for s in sequences]
-            group = step_groups(sizes)
-            rows = []
-            for k, s in enumerate(sequences):
-                at = 0
-                for d, a, n in s:
-                    raw = ids[d][a : a + n].tobytes()
-                    row = (keys[d], a, n, zlib.crc32(raw), len(ids[d]), base + made + k, at, padded(sizes[k]), base + groups + group[k])
-                    rows.append((*row, raw) if with_ids else row)
-                    at += n
-            made += len(sequences)
-            groups += max(group, default=-1) + 1
-            for i in range(0, len(rows), 10_000):
-                cols = [pa.array(c, pa.binary() if k == 9 else pa.int64()) for k, c in enumerate(zip(*rows[i : i + 10_000], strict=True))]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-        ids, keys, total = [], [], 0
-        for batch in batches:
-            some = batch.column(0).to_pylist()
-            for i, texts in slices(batch.column(1)):
-                for key, found in zip(some[i : i + len(texts)], encoder.encode(texts), strict=True):
-                    ids.append(np.append(found, end_id).astype("<u4"))
-                    keys.append(key)
-                    total += len(ids[-1])
-                if total >= POOL:
-                    yield from plan(ids, keys)
-                    ids, keys, total = [], [], 0
-        if ids:
-            yield from plan(ids, keys)
+        encoder = text_encoder(public_path(tokenizer), kind, PIECES)
+        return pack_batches(batches, encoder, end_id, TaskContext.get().partitionId() << 36, with_ids)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, schema)
