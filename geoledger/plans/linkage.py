@@ -120,7 +120,8 @@ def edge_kinds(spark, d):
 
 @query("edges_in_range", ["building"], f"{_HALF.replace('left join parcel pa on pa.id = a.parcel_id left join parcel pb on pb.id = b.parcel_id', '').replace('pa.owner', 'null').replace('pb.owner', 'null')} select id_a, id_b from half where distance >= 600 and distance < 800 union all select id_b, id_a from half where distance >= 600 and distance < 800")
 def edges_in_range(spark, d):
-    half = self_pairs(view(spark, d, "building").select(*_BOX), 400).where("1000 - floor(sqrt(d2)) >= 600 and 1000 - floor(sqrt(d2)) < 800")
+    # the distance is rounded down, so 400 stands for all below 401
+    half = self_pairs(view(spark, d, "building").select(*_BOX), 401).where("1000 - floor(sqrt(d2)) >= 600 and 1000 - floor(sqrt(d2)) < 800")
     return half.select("id_a", "id_b").union(half.select("id_b", "id_a"))
 
 
