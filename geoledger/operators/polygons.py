@@ -95,19 +95,21 @@ def _slabs(lo: str, hi: str, cell: float) -> str:
     return f"sequence(cast(floor({lo} / {cell}) as bigint), cast(floor({hi} / {cell}) as bigint))"
 
 
-def points_in(points: DataFrame, shapes: DataFrame, cell: int = 1000) -> DataFrame:
+def points_in(points: DataFrame, shapes: DataFrame, cell: int = 1000, few: bool = False) -> DataFrame:
     """``(point, shape, on_edge)``: all pairs of ``points(id, x, y)`` and shapes that hold them.
 
     Boxes give candidates by a grid join. A point then meets only the edges of its candidates that lie in
     its own horizontal strip of height ``cell``; the parity of those that cross its ray is an aggregate. So a shape
-    of very many edges costs a point one strip, and its rows are split as any skewed key. Ids are unique; null places drop.
+    of very many edges costs a point one strip, and its rows are split as any skewed key. ``few`` as in ``grid_join``: shapes
+    that don't grow with the data may be broadcast. Ids are unique; null places drop.
     """
     p = points.where("x is not null and y is not null").selectExpr("id", "double(x) as x", "double(y) as y")
     p = p.withColumns({"xmin": F.col("x"), "xmax": F.col("x"), "ymin": F.col("y"), "ymax": F.col("y")})
-    near = grid_join(p, boxes(shapes), 0, cell).select(F.col("l.id").alias("point"), "l.x", "l.y", F.col("r.id").alias("shape"))
+    near = grid_join(p, boxes(shapes), 0, cell, few).select(F.col("l.id").alias("point"), "l.x", "l.y", F.col("r.id").alias("shape"))
     near = near.withColumn("slab", F.expr(f"cast(floor(y / {cell}) as bigint)"))
     e = edges(shapes).withColumn("slab", F.explode(F.expr(_slabs("least(y1, y2)", "greatest(y1, y2)", cell)))).withColumnRenamed("id", "shape")
-    met = near.join(e.select("shape", "slab", F.struct("x1", "y1", "x2", "y2").alias("e")), ["shape", "slab"])
+    e = e.select("shape", "slab", F.struct("x1", "y1", "x2", "y2").alias("e"))
+    met = near.join(e if few else e.hint("merge"), ["shape", "slab"])
     found = met.groupBy("point", "shape").agg(F.expr(f"bool_or({on_edge('e', 'x', 'y')}) as on_edge"), F.expr(f"count_if({crosses_ray('e', 'x', 'y')}) % 2 = 1 as odd"))
     return found.where("on_edge or odd").select("point", "shape", "on_edge")
 
@@ -143,14 +145,14 @@ def measures(shapes: DataFrame) -> DataFrame:
     return s.selectExpr("id", "area", "if(area > 0, ox + mx / area, ax) as cx", "if(area > 0, oy + my / area, ay) as cy")
 
 
-def shared_area(left: DataFrame, right: DataFrame, cell: int = 1000) -> DataFrame:
+def shared_area(left: DataFrame, right: DataFrame, cell: int = 1000, few: bool = False) -> DataFrame:
     """``(l, r, shared)``: the area that two shapes share, for all pairs whose boxes meet.
 
     A shape's area is the sum of the areas below its edges, signed by their direction; so the area of two is the
     sum, over pairs of their edges, of the area below both, each with both signs. Edges of a pair meet in vertical
-    strips of width ``cell``, to which their common stretch is cut.
+    strips of width ``cell``, to which their common stretch is cut. ``few`` as in ``grid_join``.
     """
-    pairs = grid_join(boxes(left), boxes(right), 0, cell).select(F.col("l.id").alias("l"), F.col("r.id").alias("r"), F.least("l.ymin", "r.ymin").alias("base"))
+    pairs = grid_join(boxes(left), boxes(right), 0, cell, few).select(F.col("l.id").alias("l"), F.col("r.id").alias("r"), F.least("l.ymin", "r.ymin").alias("base"))
     e = lambda df, name: edges(df).where("x1 <> x2 and side <> 0").select(
         F.col("id").alias(name), F.explode(F.expr(_slabs("least(x1, x2)", "greatest(x1, x2)", cell))).alias("strip"), F.struct("x1", "y1", "x2", "y2").alias(f"e{name}"), F.expr(f"side * sign(x1 - x2) as s{name}")
     )

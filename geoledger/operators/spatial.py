@@ -24,13 +24,16 @@ def boxes_of_points(df: DataFrame, x: str, y: str) -> DataFrame:
     return found.withColumns({"xmin": F.col(x), "xmax": F.col(x), "ymin": F.col(y), "ymax": F.col(y)})
 
 
-def grid_join(left: DataFrame, right: DataFrame, within: int, cell: int | None = None) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, within: int, cell: int | None = None, few: bool = False) -> DataFrame:
     """``(l, r, d2)``: structs of all pairs of boxes at most ``within`` apart, and squared distance.
 
     Both sides are dealt to the cells they touch (the left one grown by ``within``), joined on the
     cell, and kept in the one cell that holds the pair's larger lower-left corner, so no distinct
     is needed. Cells are at least ``within`` wide; a dense cell is a skewed key of a sort-merge
-    join, which Spark splits. Boxes with null bounds match nothing.
+    join, which Spark splits. The join is always sorted and merged: Spark takes a side's size from
+    its compressed files, before its boxes are dealt to cells, and would send through the driver
+    what is many times as large. ``few`` leaves that to Spark, for a right side that doesn't grow
+    with the data. Boxes with null bounds match nothing.
     """
     cell = cell or max(within, 1)
     l = left.select(F.struct(*left.columns).alias("l")).where("l.xmin is not null")
@@ -39,7 +42,7 @@ def grid_join(left: DataFrame, right: DataFrame, within: int, cell: int | None =
     l = l.withColumn("cy", F.expr(f"explode({_cells(f'(l.ymin - {within})', f'(l.ymax + {within})', cell)})"))
     r = r.withColumn("cx", F.expr(f"explode({_cells('r.xmin', 'r.xmax', cell)})"))
     r = r.withColumn("cy", F.expr(f"explode({_cells('r.ymin', 'r.ymax', cell)})"))
-    pairs = l.join(r, ["cx", "cy"])
+    pairs = l.join(r if few else r.hint("merge"), ["cx", "cy"])
     own = f"cx = floor(greatest(l.xmin - {within}, r.xmin) / {cell}) and cy = floor(greatest(l.ymin - {within}, r.ymin) / {cell})"
     return pairs.where(own).withColumn("d2", box_distance2("l", "r")).where(F.col("d2") <= within * within).select("l", "r", "d2")
 
@@ -68,7 +71,7 @@ def nearest(left: DataFrame, right: DataFrame, start: int, apart: str = "true")
         found = hits if found is None else found.union(hits)
         if lo_x is None or reach > (hi_x - lo_x) + (hi_y - lo_y):
             return found
-        rest = materialize(rest.join(hits, "id", "left_anti"), "rest")
+        rest = materialize(rest.join(hits.hint("merge"), "id", "left_anti"), "rest")
         if rest.isEmpty():
             return found
         reach *= 2

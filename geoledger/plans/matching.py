@@ -54,7 +54,7 @@ _MASKED = f""", cover as (select t.id, sum({_COVERED}) / cast(any_value((t.xmax
 
 def mask_cover(spark, d: str) -> DataFrame:
     """(id, share, within) of tiles that a mask covers in part; masks are disjoint."""
-    got = grid_join(view(spark, d, "tile").select(*_BOX), view(spark, d, "urban_mask"), 0, 2002)
+    got = grid_join(view(spark, d, "tile").select(*_BOX), view(spark, d, "urban_mask"), 0, 2002, few=True)
     t = got.select(F.col("l").alias("t"), F.col("r").alias("m")).where(f"{_COVERED} > 0").groupBy("t.id")
     area = "any_value((t.xmax - t.xmin) * (t.ymax - t.ymin))"
     return t.agg(F.expr(f"sum({_COVERED}) / {area} as share"), F.expr("bool_or(t.xmin >= m.xmin and t.xmax <= m.xmax and t.ymin >= m.ymin and t.ymax <= m.ymax) as within"))
@@ -79,7 +79,8 @@ def nearest_site(spark, d: str, pts: DataFrame) -> DataFrame:
     """(permit, site, d2, c2): nearest by polygon; c2 is the squared distance to that site's centre."""
     s = sites(spark, d).select(*_BOX)
     near = nearest(pts, s, 1000).toDF("permit", "site", "d2")
-    boxed = near.join(s.withColumnRenamed("id", "site"), "site").join(pts.select(F.col("id").alias("permit"), F.col("xmin").alias("x"), F.col("ymin").alias("y")), "permit")
+    at = pts.select(F.col("id").alias("permit"), F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    boxed = near.join(s.withColumnRenamed("id", "site").hint("merge"), "site").join(at.hint("merge"), "permit")
     return boxed.selectExpr("permit", "site", "d2", "pow(x - (xmin + xmax) / 2.0D, 2) + pow(y - (ymin + ymax) / 2.0D, 2) as c2")
 
 

@@ -72,7 +72,7 @@ def on_parcels(spark, d):
 def permit_counties(spark, d):
     """The county of every permit by point in polygon; on a border the lowest id; those outside are marked."""
     p = view(spark, d, "permit").selectExpr("id", f"rx % {DISTRICT} as x", "ry as y")
-    one = pg.points_in(p, shapes(spark, d, "county_shape"), 4000).groupBy(F.col("point").alias("id")).agg(F.min("shape").alias("county"))
+    one = pg.points_in(p, shapes(spark, d, "county_shape"), 4000, few=True).groupBy(F.col("point").alias("id")).agg(F.min("shape").alias("county"))
     names = view(spark, d, "county").select(F.col("id").alias("county"), "name")
     return p.select("id").join(one, "id", "left").join(names, "county", "left").select("id", "county", "name", F.col("county").isNull().alias("unmatched"))
 
@@ -133,7 +133,7 @@ def overlap_exclusion(spark, d):
 def under_mask(spark, d):
     """Tiles that masks cover in part: the share, whether one holds the tile, and the bucket with such tiles removed."""
     tiles, masks = shapes(spark, d, "tile_shape"), shapes(spark, d, "mask_shape")
-    met = pg.shared_area(tiles, masks, 2002).where("shared > 0.001").join(pg.measures(tiles).select(F.col("id").alias("l"), "area"), "l")
+    met = pg.shared_area(tiles, masks, 2002, few=True).where("shared > 0.001").join(pg.measures(tiles).select(F.col("id").alias("l"), "area"), "l")
     c = met.groupBy(F.col("l").alias("id")).agg(F.expr("sum(shared) / any_value(area) as share"), F.expr(f"bool_or(shared >= area * (1 - {pg.EPS})) as within"))
     out = c.join(view(spark, d, "tile").select("id", "bucket"), "id")
     return out.selectExpr("id", "round(share, 9) as share", "within", "share > 0.7 as mostly", "if(within, null, bucket) as bucket")
@@ -163,7 +163,7 @@ def number_hulls(spark, d):
 def points_within_hull(spark, d):
     """Of each parcel number the points, and those at most 5 m from the hull of all its points: the hull with a margin holds every one."""
     p = view(spark, d, "parcel").selectExpr("number as key", "double(xmin) as x", "double(ymin) as y").distinct()
-    h = pg.hulls(p)
+    h = materialize(pg.hulls(p), "hulls")  # read several times below
     own = p.selectExpr("struct(key, x, y) as id", "array(array(array(struct(x, y)))) as polys")
     held = pg.near_shapes(own, h, 5).where("l.key = r").select(F.col("l.key").alias("key"), F.col("l").alias("held")).groupBy("key").agg(F.count_distinct("held").alias("within"))
     out = p.groupBy("key").agg(F.count("*").alias("points")).join(held, "key", "left")

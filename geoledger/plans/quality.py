@@ -79,7 +79,7 @@ def masked_only(spark, d):
 @query("masks_without_tile", ["tile", "urban_mask"], " select m.id from urban_mask m where not exists (select 1 from tile t where t.xmin >= m.xmin and t.xmax <= m.xmax and t.ymin >= m.ymin and t.ymax <= m.ymax)")
 def masks_without_tile(spark, d):
     m = view(spark, d, "urban_mask").select(*_BOX)
-    inside = grid_join(view(spark, d, "tile").select(*_BOX), m, 0, 2002).where("l.xmin >= r.xmin and l.xmax <= r.xmax and l.ymin >= r.ymin and l.ymax <= r.ymax")
+    inside = grid_join(view(spark, d, "tile").select(*_BOX), m, 0, 2002, few=True).where("l.xmin >= r.xmin and l.xmax <= r.xmax and l.ymin >= r.ymin and l.ymax <= r.ymax")
     return m.select("id").join(inside.select(F.col("r.id").alias("id")), "id", "left_anti")
 
 
