@@ -16,6 +16,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
     "name",
     [
         "closest_unless_tied",
+        "best_permits",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
