@@ -17,6 +17,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
     [
         "closest_unless_tied",
         "best_permits",
+        "facilities_by_best_permit",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
