@@ -18,6 +18,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "closest_unless_tied",
         "best_permits",
         "facilities_by_best_permit",
+        "buildings_on_parcel_polygons",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
