@@ -19,6 +19,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "best_permits",
         "facilities_by_best_permit",
         "buildings_on_parcel_polygons",
+        "completeness_checks",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
