@@ -20,6 +20,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "facilities_by_best_permit",
         "buildings_on_parcel_polygons",
         "completeness_checks",
+        "estimate_headlines",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
