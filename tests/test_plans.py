@@ -22,6 +22,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "completeness_checks",
         "estimate_headlines",
         "facility_tile_ratio",
+        "initial_tiles_by_positive",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
