@@ -23,6 +23,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "estimate_headlines",
         "facility_tile_ratio",
         "initial_tiles_by_positive",
+        "match_set_algebra",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
