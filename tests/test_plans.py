@@ -24,6 +24,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "facility_tile_ratio",
         "initial_tiles_by_positive",
         "match_set_algebra",
+        "lone_cluster_nearest",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
