@@ -26,6 +26,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "match_set_algebra",
         "lone_cluster_nearest",
         "nearest_facility",
+        "parcel_points_within_hull",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
