@@ -27,6 +27,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "lone_cluster_nearest",
         "nearest_facility",
         "parcel_points_within_hull",
+        "parcel_site_else_closest",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
