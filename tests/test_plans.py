@@ -28,6 +28,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "nearest_facility",
         "parcel_points_within_hull",
         "parcel_site_else_closest",
+        "permit_match_by_points",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
