@@ -29,6 +29,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "parcel_points_within_hull",
         "parcel_site_else_closest",
         "permit_match_by_points",
+        "permit_parcel_polygons",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
