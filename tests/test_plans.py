@@ -30,6 +30,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "parcel_site_else_closest",
         "permit_match_by_points",
         "permit_parcel_polygons",
+        "unlabeled_next_to_positive_tiles",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
