@@ -31,6 +31,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "permit_match_by_points",
         "permit_parcel_polygons",
         "unlabeled_next_to_positive_tiles",
+        "staged_match",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
