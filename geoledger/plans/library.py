@@ -143,7 +143,7 @@ def components(spark, d: str, within: int = 400) -> DataFrame:
     """(node, component) of every building that is not excluded; lone ones are their own."""
     kept = view(spark, d, "building").where("not excluded").select("id", "xmin", "ymin", "xmax", "ymax")
     found = connected_components(self_pairs(kept, within).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
-    return kept.select(F.col("id").alias("node")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return kept.select(F.col("id").alias("node")).join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 @query("building_components", ["building"], _CC + " select node, min(root) as component from reach group by node", True)

@@ -194,20 +194,21 @@ def label_points(spark, d):
     return out.selectExpr("id", "case when hulls = 0 then 'missing' when hulls = 1 then 'matched' else 'ambiguous' end as outcome", "if(hulls = 1, key, null) as facility", "hulls")
 
 
-def facility_shapes(spark, d: str):
+def facility_shapes(spark, d: str, parts=None):
     """``(facility, buildings, parts, polys, hash, buildings_ids)``: facilities as multipolygons.
 
     A facility is a component of buildings; its polygons stand in order of building id, and ``hash`` is the MD5 of their
     text in a fixed order, so that it doesn't depend on how they were found. ``parts`` counts the groups of mutually
-    intersecting polygons (components inside the facility). A facility's polygons are gathered in its row.
+    intersecting polygons (components inside the facility). A facility's polygons are gathered in its row. ``parts(node,
+    component)`` are the facilities where they are known and written already.
     """
-    cc = materialize(components(spark, d), "facility-parts")
+    cc = materialize(components(spark, d), "facility-parts") if parts is None else parts
     b = shapes(spark, d, "building_shape", "not excluded")
-    own = b.join(cc.withColumnRenamed("node", "id"), "id")
-    inside = lambda x: cc.select(F.col("node").alias(x), F.col("component").alias(f"f{x}"))
+    own = b.join(cc.withColumnRenamed("node", "id").hint("merge"), "id")
+    inside = lambda x: cc.select(F.col("node").alias(x), F.col("component").alias(f"f{x}")).hint("merge")
     met = pg.near_shapes(b, b, 0, 200).where("l < r").join(inside("l"), "l").join(inside("r"), "r").where("fl = fr")
     groups = connected_components(met.select(F.col("l").alias("u"), F.col("r").alias("v"))).withColumnRenamed("node", "id").withColumnRenamed("component", "part")
-    own = own.join(groups, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    own = own.join(groups.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     out = own.groupBy(F.col("component").alias("facility")).agg(
         F.count("*").alias("buildings"), F.count_distinct("part").alias("parts"), F.sort_array(F.collect_list(F.struct("id", "polys"))).alias("all"),
     )

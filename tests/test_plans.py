@@ -25,6 +25,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "initial_tiles_by_positive",
         "match_set_algebra",
         "lone_cluster_nearest",
+        "facility_feature_values",
         "nearest_facility",
         "parcel_points_within_hull",
         "parcel_site_else_closest",
