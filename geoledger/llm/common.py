@@ -30,10 +30,11 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], salt: Column,
 
     ``small`` is counted first (it should be materialized). Up to BROADCAST_ROWS rows it is
     broadcast. Beyond that, rows of ``big`` are salted and ``small`` is repeated once per salt,
-    so that one hot key is dealt to ``salts`` tasks.
+    so that one hot key is dealt to ``salts`` tasks. That join is sorted and merged: Spark knows the
+    size of ``small``'s files only, and would broadcast all its copies.
     """
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, "left")
     salted = big.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    return salted.join(spread.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
