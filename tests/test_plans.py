@@ -21,6 +21,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "buildings_on_parcel_polygons",
         "completeness_checks",
         "estimate_headlines",
+        "facility_attributes",
         "facility_tile_ratio",
         "initial_tiles_by_positive",
         "match_set_algebra",
