@@ -94,8 +94,9 @@ _POINTS = "select id, cast(rx as double) as x, cast(ry as double) as y from perm
 def site_permits(spark, d):
     """Sites and permits one of whose points is at most 400 m from the site's polygon, inclusive."""
     place = lambda x, y: view(spark, d, "permit").where(f"{x} is not null").selectExpr("id", f"array(array(array(named_struct('x', double({x}), 'y', double({y}))))) as polys")
-    b = shapes(spark, d, "building_shape").join(sites(spark, d).select("id"), "id", "left_semi")
-    both = pg.near_shapes(b, place("rx", "ry"), 400).union(pg.near_shapes(b, place("gx", "gy"), 400))
+    b = materialize(shapes(spark, d, "building_shape").join(sites(spark, d).select("id").hint("merge"), "id", "left_semi"), "site-shapes")
+    near = lambda x, y: materialize(pg.near_shapes(b, place(x, y), 400), "site-permits")  # noqa: E731  one after the other, which keeps the driver's plans small
+    both = near("rx", "ry").union(near("gx", "gy"))
     return both.groupBy(F.col("l").alias("site"), F.col("r").alias("permit")).agg(F.expr("round(sqrt(min(d2)), 6) as distance"))
 
 

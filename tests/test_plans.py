@@ -34,6 +34,7 @@ GROWING = r"BroadcastHashJoin \[(cx|shape)#\d+L?, (cy|slab)#"
         "permit_parcel_polygons",
         "unlabeled_next_to_positive_tiles",
         "staged_match",
+        "site_permits_by_polygon",
     ],
 )
 def test_cells_are_not_broadcast(spark, monkeypatch, name):
